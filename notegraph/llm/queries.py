@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegraph.llm import cooccurrence, mixing, reading, terms, tokens
+from notegraph.llm import cooccurrence, mixing, neardup, reading, terms, tokens
 from notegraph.scratch import materialize
 from notegraph.sources.tables import distinct_notes, folded, table
 
+# -- p1: near-duplicate notes ----------------------------------------------------------------------------------------------
+
+
+def _similar_notes(spark: SparkSession, folder: str) -> neardup.Similar:
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("body", F.lit("")))
+    return neardup.near_duplicates(table(spark, folder, "notes"), F.col("id"), text)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _similar_notes(spark, folder).pairs()
+
+
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    similar = _similar_notes(spark, folder)
+    return neardup.Similar(similar.members, materialize(similar.links, "links")).groups()
+
+
 # -- p2: frequency of tags and terms ---------------------------------------------------------------------------------------
 
 
@@ -112,6 +129,8 @@ def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p2_terms": p2_terms,
     "p2_ngrams": p2_ngrams,
@@ -151,6 +170,13 @@ scored as (select tag_a, tag_b, ab, p.n as count_a, q.n as count_b, (select coun
 """
 
 SQL = {
+    "p1_found": """with n as (select id, any_value(title) as title, any_value(body) as body from notes where id is not null group by id),
+words as (select id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(body, '')), '[\\p{L}\\p{N}]+') as w from n),
+grams as (select distinct id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g
+  from (select id, w, unnest(generate_series(1, len(w) - 2)) as i from words where len(w) >= 3)),
+sizes as (select id, count(*) as n from grams group by id),
+shared as (select x.id as id_a, y.id as id_b, count(*) as s from grams x join grams y on x.g = y.g and x.id < y.id group by all)
+select id_a, id_b from shared join sizes p on id_a = p.id join sizes q on id_b = q.id where 2 * s >= p.n + q.n - s""",
     "p2_found": f"with {_TERMS} select field, term, mark from marked where mark is not null",
     "p2_terms": f"with {_TERMS} select * from marked",
     "p2_ngrams": f"""with {_TOKENS},
