@@ -9,6 +9,7 @@ a pair from above by bit counts; what remains is decided by intersecting the sor
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +26,10 @@ WORDS = 3
 THRESHOLD = 0.5
 #: A shingle that may be in more sets than this has its tile cut into blocks by the hash of the set.
 HOT = 2048
+#: The sketch of shingle counts has a bucket of one byte for each word of the collection, but between 2^16 and 2^26.
+SKETCH_BITS = (16, 26)
 _PAIRS_AT_ONCE = 1 << 21
-_TILE_SCHEMA = "bucket int, ref bigint, size int, bits binary, posts binary"
+_TILE_SCHEMA = "bucket int, block binary"
 _PAIR_SCHEMA = "lo bigint, hi bigint"
 _INDEX, _PROBE = 1, 2
 
@@ -41,6 +44,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """The same non-negative numbers in the smallest type that holds them."""
+    return values.astype(np.min_scalar_type(int(values.max()))) if len(values) else values.astype(np.uint8)
+
+
 def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(text number, 56-bit shingle) of every run of ``words`` words; the words of a text are separated by single spaces."""
     texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
@@ -85,6 +93,8 @@ class Join:
     words: int
     threshold: float
     buckets: int
+    bits: int
+    hot: int = HOT
 
     def need(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Least overlap of sets of these sizes that are alike enough."""
@@ -95,7 +105,7 @@ class Join:
         return (64 * 2 ** np.ceil(np.log2(np.maximum(size / 32, 1)))).astype(np.int64)
 
     def posts(self, levels: np.ndarray, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """The rows of the tiles' buckets: of each set, in each bucket where it has posts, its bitmap and those posts."""
+        """For each bucket of tiles a block of the sets that have posts there, with their bitmaps and posts."""
         bounds, key = sorted_sets(batch.column("text"), self.words)
         size = np.diff(bounds)
         owner = np.repeat(np.arange(len(size)), size)
@@ -106,7 +116,7 @@ class Join:
         image = np.zeros(offset[-1], dtype=np.uint8)
         np.bitwise_or.at(image, offset[owner] + bit // 8, (1 << (bit % 8)).astype(np.uint8))
         # rare shingles first
-        rarity = levels[sketch.bucket(key)]
+        rarity = levels[sketch.bucket(key, self.bits)]
         order = np.lexsort((key, rarity, owner))
         key, rarity = key[order], rarity[order]
         rank = np.arange(len(key)) - bounds[:-1][owner] + 1
@@ -117,7 +127,7 @@ class Join:
             return
         role = _PROBE + _INDEX * (rank[at] <= own[at] - self.need(own[at], own[at]) + 1)
         tile = (key[at] & np.uint64(0xFFFFFFFF)).astype(np.uint64)
-        blocks = np.ceil(sketch.at_most(rarity[at]) / HOT).astype(np.int64)
+        blocks = np.ceil(sketch.at_most(rarity[at]) / self.hot).astype(np.int64)
         ref = batch.column("ref").to_numpy()
         cool = blocks <= 1
         parts = [(owner[at][cool], tile[cool], rank[at][cool], role[cool])]
@@ -130,38 +140,35 @@ class Join:
                     parts.append((np.full(g, row), cell, np.full(g, rank[at[x]]), np.full(g, kind)))
         row, tile, rank, role = (np.concatenate(x) for x in zip(*parts))
         target = (_mix(tile + np.uint64(1)) % np.uint64(self.buckets)).astype(np.int64)
-        order = np.lexsort((target, row))
-        row, target = row[order], target[order]
-        packed = (tile[order] << np.uint64(32)) | (rank[order].astype(np.uint64) << np.uint64(2)) | role[order].astype(np.uint64)
+        order = np.lexsort((row, target))
+        row, target, tile, rank = row[order], target[order], tile[order].astype(np.uint32), (rank << 2 | role)[order]
+        # one block for each bucket: its sets with their bitmaps, and the posts of each, column by column
         cut = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(target, prepend=-1) != 0))
-        edges = np.append(cut, len(row)) * 8
-        raw, image = packed.tobytes(), image.tobytes()
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(target[cut], pa.int32()), pa.array(ref[row[cut]], pa.int64()), pa.array(size[row[cut]], pa.int32()),
-                pa.array([image[offset[i] : offset[i + 1]] for i in row[cut]], pa.binary()),
-                pa.array([raw[a:b] for a, b in zip(edges, edges[1:])], pa.binary()),
-            ],
-            ["bucket", "ref", "size", "bits", "posts"],
-        )
+        edges = np.append(cut, len(row))
+        bounds = np.searchsorted(target[cut], np.arange(self.buckets + 1))
+        image = image.tobytes()
+        buckets, blocks = [], []
+        for k in np.flatnonzero(np.diff(bounds)):
+            sets, span = slice(bounds[k], bounds[k + 1]), slice(edges[bounds[k]], edges[bounds[k + 1]])
+            own = row[cut[sets]]
+            bits = b"".join(image[offset[i] : offset[i + 1]] for i in own)
+            columns = (ref[own], _narrow(size[own]), _narrow(np.diff(edges[bounds[k] : bounds[k + 1] + 1])), tile[span], _narrow(rank[span]))
+            buckets.append(k)
+            blocks.append(pickle.dumps((*columns, bits), protocol=5))
+        yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
     def tiles(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of one bucket of tiles that pass sizes, ranks and bit counts."""
-        held = [b for b in batches if b.num_rows]
-        if not held:
+        blocks = [pickle.loads(x) for batch in batches for x in batch.column("block").to_pylist()]
+        if not blocks:
             return
-        whole = pa.Table.from_batches(held)
-        ref, size = whole.column("ref").to_numpy(), whole.column("size").to_numpy().astype(np.int64)
-        blobs = whole.column("posts").to_pylist()
-        count = np.array([len(x) // 8 for x in blobs])
-        packed = np.frombuffer(b"".join(blobs), dtype=np.uint64)
+        ref, size, count, tile, rank = (np.concatenate([b[i] for b in blocks]).astype(np.int64) for i in range(5))
+        bitmaps = _Bitmaps(np.frombuffer(b"".join(b[5] for b in blocks), dtype=np.uint8), self.widths(size))
+        del blocks
         row = np.repeat(np.arange(len(ref)), count)
-        bitmaps = _Bitmaps(whole.column("bits").to_pylist(), self.widths(size))
-        order = np.lexsort((size[row], packed >> np.uint64(32)))
-        packed, row = packed[order], row[order]
-        tile = (packed >> np.uint64(32)).astype(np.int64)
-        rank = ((packed & np.uint64(0xFFFFFFFF)) >> np.uint64(2)).astype(np.int64)
-        role = (packed & np.uint64(3)).astype(np.int64)
+        rank, role = rank >> 2, rank & 3
+        order = np.lexsort((size[row], tile))
+        tile, rank, role, row = tile[order], rank[order], role[order], row[order]
         own = size[row]
         # the partners of a post stand behind it, up to the largest size that can be alike
         place = (tile << 31) + own
@@ -214,14 +221,15 @@ class Join:
 class _Bitmaps:
     """Bitmaps of different widths; a pair is compared at the smaller width, to which the other is folded."""
 
-    def __init__(self, blobs: list[bytes], widths: np.ndarray):
+    def __init__(self, flat: np.ndarray, widths: np.ndarray):
         self.width = widths
-        self.at = np.zeros(len(blobs), dtype=np.int64)
+        self.at = np.zeros(len(widths), dtype=np.int64)
         self.rows: dict[int, np.ndarray] = {}
+        starts = np.concatenate([[0], np.cumsum(widths // 8)])
         for w in np.unique(widths):
             own = np.flatnonzero(widths == w)
             self.at[own] = np.arange(len(own))
-            self.rows[int(w)] = np.frombuffer(b"".join(blobs[i] for i in own), dtype=np.uint64).reshape(len(own), -1)
+            self.rows[int(w)] = flat[starts[own][:, None] + np.arange(w // 8)].view(np.uint64)
 
     def _folded(self, rows: np.ndarray, width: int) -> np.ndarray:
         wide = np.empty((len(rows), width // 64), dtype=np.uint64)
@@ -277,7 +285,7 @@ class Similar:
         return self.members.join(counted, "ref").select("id", "class_id", "group_id", "n_links")
 
 
-def near_duplicates(records: DataFrame, key: Column, text: Column, words: int = WORDS, threshold: float = THRESHOLD) -> Similar:
+def near_duplicates(records: DataFrame, key: Column, text: Column, words: int = WORDS, threshold: float = THRESHOLD, hot: int = HOT) -> Similar:
     """All pairs of records whose sets of ``words``-word shingles have a Jaccard similarity of at least ``threshold``.
 
     Words are the maximal runs of letters and digits of the lower-cased text. Records with a null key or fewer than ``words``
@@ -293,8 +301,11 @@ def near_duplicates(records: DataFrame, key: Column, text: Column, words: int =
     repeated = materialize(repeated.select("ref", "first"), "copies")
     texts = base.select("ref", "text", "row").join(repeated, "ref", "left").filter("first is null or row = first").select("ref", "text")
 
-    levels = spark.sparkContext.broadcast(sketch.build(texts.select("text"), lambda batch: shingles(batch.column("text"), words)[1]))
-    join = Join(words, threshold, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_words = base.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit(" "))) + 1)).first()[0] or 1
+    bits = min(max(int(np.ceil(np.log2(n_words))), SKETCH_BITS[0]), SKETCH_BITS[1])
+    counts = sketch.build(texts.select("text"), lambda batch: shingles(batch.column("text"), words)[1], bits)
+    levels = spark.sparkContext.broadcast(counts)
+    join = Join(words, threshold, int(spark.conf.get("spark.sql.shuffle.partitions")), bits, hot)
 
     def posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

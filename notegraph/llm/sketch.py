@@ -1,6 +1,6 @@
-"""A count sketch of fixed size: per bucket of a 64-bit key an upper bound of its count, on a logarithmic scale of one byte.
+"""A count sketch of bounded size: per bucket of a 64-bit key an upper bound of its count, on a logarithmic scale of one byte.
 
-Its size does not depend on the data, so it may go to the driver and to every executor. It only steers an order or skips
+It has 2^bits bytes, whatever it counts, so it may go to the driver and to every executor. It only steers an order or skips
 keys that are surely absent or single; no result depends on how well it counts.
 """
 
@@ -14,13 +14,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-BITS = 24
 _SLICES = 64
 _FLUSH = 1 << 22
 _BLOB = "slice int, blob binary"
 
 
-def bucket(keys: np.ndarray, bits: int = BITS) -> np.ndarray:
+def bucket(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
 
 
@@ -34,7 +33,7 @@ def at_most(levels: np.ndarray) -> np.ndarray:
     return np.where(levels < 2, levels, np.floor(2.0 ** (levels / 8.0)))
 
 
-def build(df: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], bits: int = BITS) -> np.ndarray:
+def build(df: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> np.ndarray:
     """Levels of all buckets, from the keys that ``keys_of`` gives for each batch of ``df``. No rows give zeros."""
     width = (1 << bits) // _SLICES
 
