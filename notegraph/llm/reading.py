@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
 
@@ -38,6 +39,7 @@ FEATURES = (
 )
 #: Longer words, mostly names and paths, count as this long.
 _LONGEST = 22
+_PORTION = 1 << 20
 
 
 def prose(text: str | None) -> list[str]:
@@ -282,6 +284,15 @@ def train(samples: DataFrame) -> Model:
     return fit(bounded.select("lang", "band", "text").toPandas())
 
 
+def _portions(texts: pd.Series) -> Iterator[pd.Series]:
+    """The texts in portions of about ``_PORTION`` characters, a longer text by itself, so that arrays stay small."""
+    size = texts.str.len().fillna(0).to_numpy()
+    part = (np.cumsum(size) // _PORTION).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(part, prepend=-1)) if len(texts) else []
+    for a, b in zip(cuts, [*cuts[1:], len(texts)]):
+        yield texts.iloc[a:b]
+
+
 def reading_levels(documents: DataFrame, model: Model, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, language, n_words, score, level (0 easiest to 2), band for every document.
 
@@ -294,15 +305,16 @@ def reading_levels(documents: DataFrame, model: Model, min_words: int = MIN_WORD
     @F.pandas_udf("language string, n_words bigint, score double, level double")
     def judge(texts: pd.Series) -> pd.DataFrame:
         fitted = shared.value
-        batch = profile([prose(text) for text in texts])
-        best, score = fitted.scores(batch)
-        ok = (batch.n_words >= min_words) & (batch.latin_share >= LATIN_SHARE)
-        return pd.DataFrame(
-            {
-                "language": np.where(ok, np.array(fitted.languages, dtype=object)[best], None), "n_words": batch.n_words,
-                "score": np.where(ok, score, np.nan), "level": np.where(ok, np.interp(score, fitted.knots, fitted.levels), np.nan),
-            }
-        )
+        names = np.array(fitted.languages, dtype=object)
+        parts = []
+        for some in _portions(texts):
+            batch = profile([prose(text) for text in some])
+            best, score = fitted.scores(batch)
+            ok = (batch.n_words >= min_words) & (batch.latin_share >= LATIN_SHARE)
+            level = np.interp(score, fitted.knots, fitted.levels)
+            parts.append((np.where(ok, names[best], None), batch.n_words, np.where(ok, score, np.nan), np.where(ok, level, np.nan)))
+        columns = [np.concatenate(x) for x in zip(*parts)] if parts else [[], [], [], []]
+        return pd.DataFrame(dict(zip(("language", "n_words", "score", "level"), columns)))
 
     judged = documents.select("doc_id", judge("text").alias("j")).select("doc_id", "j.*")
     level = F.when(~F.isnan("level"), F.col("level"))
