@@ -202,34 +202,31 @@ def cycle_members(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     arcs = arcs.filter("source <> '' and target <> ''").distinct()
     arcs = arcs.join(known.withColumnRenamed("id", "source"), "source", "left_semi")
     arcs = arcs.join(known.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target")
-    arcs = materialize(arcs, "arcs")
-    loops = [arcs.filter("source = target").select(F.col("source").alias("id"))]
-    alive = arcs.filter("source <> target")
-    spliced: list[DataFrame] = []
+    alive = materialize(arcs.select("source", "target", F.lit(None).cast("string").alias("spliced")), "arcs")
+    steps = [alive]
     r = 0
     while True:
+        edges = alive.filter("source <> target").select("source", "target").distinct()
+        marks = _marked(edges, r)
+        both = edges.join(marks.select(F.col("id").alias("source"), F.col("act").alias("act_s")), "source")
+        both = both.join(marks.select(F.col("id").alias("target"), F.col("act").alias("act_t"), F.col("succ").alias("past")), "target")
         seen = Observation()
-        marks = _marked(alive, r).observe(seen, F.count("*").alias("n"), F.count(F.when(F.col("act") != "keep", 1)).alias("gone"), F.count(F.when(F.col("act") == "splice", 1)).alias("cut"))
-        marks = materialize(marks, f"marks-{r}")
-        if not seen.get["gone"]:
-            core = alive
+        both = both.observe(
+            seen, F.count("*").alias("n"), F.count(F.when((F.col("act_s") != "keep") | (F.col("act_t") != "keep"), 1)).alias("touched")
+        )
+        # the way into a spliced node now leads to its successor; an end raked at the same time goes in the next round
+        cut = F.col("act_t") == "splice"
+        kept = both.filter((F.col("act_s") == "keep") & (F.col("act_t") != "rake"))
+        rest = kept.select("source", F.when(cut, F.col("past")).otherwise(F.col("target")).alias("target"), F.when(cut, F.col("target")).alias("spliced"))
+        rest = materialize(rest, f"arcs-{r}")
+        if not seen.get["touched"]:
             break
-        gone = marks.filter("act <> 'keep'").select("id")
-        rest = alive.join(gone.withColumnRenamed("id", "source"), "source", "left_anti")
-        rest = rest.join(gone.withColumnRenamed("id", "target"), "target", "left_anti").select("source", "target")
-        if seen.get["cut"]:
-            cut = marks.filter("act = 'splice'").select("id", "pred", "succ")
-            spliced.append(cut)
-            raked = marks.filter("act = 'rake'").select("id")
-            bridge = cut.join(raked.withColumnRenamed("id", "pred"), "pred", "left_anti")
-            bridge = bridge.join(raked.withColumnRenamed("id", "succ"), "succ", "left_anti")
-            rest = rest.unionByName(bridge.select(F.col("pred").alias("source"), F.col("succ").alias("target"))).distinct()
-        left = Observation()
-        rest = materialize(rest.observe(left, F.count(F.when(F.col("source") == F.col("target"), 1)).alias("loops")), f"arcs-{r}")
-        if left.get["loops"]:
-            loops.append(rest.filter("source = target").select(F.col("source").alias("id")))
-        alive = rest.filter("source <> target")
+        alive = rest
+        steps.append(rest)
         r += 1
+    loops = [step.filter("source = target").select(F.col("source").alias("id")) for step in steps]
+    spliced = [step.filter("spliced is not null").select(F.col("spliced").alias("id"), F.col("source").alias("pred"), F.col("target").alias("succ")) for step in steps[1:]]
+    core = rest.select("source", "target")
     # (id, scc) of the nodes that share a component with another; any other node is its own component
     scc = None
     found = loops[0]
@@ -250,8 +247,9 @@ def cycle_members(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             both = cut.join(a, "pred", "left").join(b, "succ", "left")
             a, b = F.coalesce("a", "pred"), F.coalesce("b", "succ")
             hit = both.filter(a == b).select("id", a.alias("scc"))
-        hit = materialize(hit, "unsplice")
-        if not hit.isEmpty():
+        met = Observation()
+        hit = materialize(hit.observe(met, F.count("*").alias("n")), "unsplice")
+        if met.get["n"]:
             found = found.unionByName(hit.select("id"))
             scc = hit if scc is None else scc.unionByName(hit)
     return found.distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,9 +51,13 @@ def _dependencies(spark: SparkSession, folder: str) -> DataFrame:
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     notes = _parents(spark, folder)
     has_parent = notes.select(F.trim("id").alias("id"), F.btrim("parent", F.lit(" \t\r\n")).alias("parent")).filter("parent <> ''")
-    trees = hierarchy(notes, notes.select("id")).join(has_parent.select("id"), "id", "left_semi")
-    rows = trees.select(F.lit("parent").alias("relation"), "id", "root_id", F.col("depth").cast("int").alias("depth"))
-    loops = cycle_members(_dependencies(spark, folder), notes.select("id"))
+    # the two relations are independent, so their rounds share the cluster
+    with ThreadPoolExecutor(2) as pool:
+        trees = pool.submit(hierarchy, notes, notes.select("id"))
+        loops = pool.submit(cycle_members, _dependencies(spark, folder), notes.select("id"))
+        trees, loops = trees.result(), loops.result()
+    placed = trees.join(has_parent.select("id"), "id", "left_semi")
+    rows = placed.select(F.lit("parent").alias("relation"), "id", "root_id", F.col("depth").cast("int").alias("depth"))
     return rows.unionByName(
         loops.select(F.lit("depends_on").alias("relation"), "id", F.lit(CYCLE).alias("root_id"), F.lit(-1).alias("depth"))
     )
