@@ -85,7 +85,8 @@ accesses as (
   select distinct lower(trim(agent_id, ' ' || chr(9) || chr(10) || chr(13))) as agent_id, mote_id, epoch_us(accessed_at) as t
   from access_log where mote_id is not null and year(accessed_at) <> 1970
     and trim(agent_id, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
-gaps as (select agent_id, t, t - lag(t) over (partition by agent_id order by t) as gap from accesses)
+moments as (select agent_id, t, count(*) as k from accesses group by agent_id, t),
+gaps as (select agent_id, t, k, t - lag(t) over (partition by agent_id order by t) as gap from moments)
 """
 
 _FOREST = r"""
@@ -98,14 +99,14 @@ walk(id, node, path, depth) as (
 
 SQL = {
     "p3_found": f"""with {_ACCESSES},
-numbered as (select agent_id, t, sum(case when gap > {SESSION_GAP} or gap is null then 1 else 0 end)
+numbered as (select agent_id, t, k, sum(case when gap > {SESSION_GAP} or gap is null then 1 else 0 end)
   over (partition by agent_id order by t rows unbounded preceding) as s from gaps)
-select agent_id, min(t) as start_us, max(t) as end_us, count(*) as n_events from numbered group by agent_id, s""",
+select agent_id, min(t) as start_us, max(t) as end_us, sum(k)::bigint as n_events from numbered group by agent_id, s""",
     "p3_gap_profile": f"""with {_ACCESSES},
-cut as (select g.limit_us, agent_id, t, sum(case when gap > g.limit_us or gap is null then 1 else 0 end)
+cut as (select g.limit_us, agent_id, t, k, sum(case when gap > g.limit_us or gap is null then 1 else 0 end)
   over (partition by g.limit_us, agent_id order by t rows unbounded preceding) as s
   from gaps, (select unnest([{', '.join(map(str, PROFILE_GAPS))}]) as limit_us) g),
-per as (select limit_us, agent_id, s, count(*) as n, max(t) - min(t) as d from cut group by all)
+per as (select limit_us, agent_id, s, sum(k) as n, max(t) - min(t) as d from cut group by all)
 select limit_us::bigint as gap_us, count(*) as n_sessions, sum(n)::bigint as n_events, sum(d)::bigint as total_us,
   max(d)::bigint as longest_us from per group by limit_us""",
     "p4_found": f"""with recursive {_FOREST},
