@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from notegraph.scratch import materialize
 
 FAN_IN = 32
+#: An entity's events are built into trees so many at a time.
+PIECE = 1 << 16
 _NO_GAP = np.iinfo(np.int64).max
 _SCHEMA = (
     "entity string, start_us bigint, end_us bigint, n_events bigint, gap_us bigint, parent_gap_us bigint, chunk bigint"
@@ -63,61 +65,84 @@ def _skeleton(atoms: list[tuple], left_open: bool, right_open: bool, emit: list[
     return [_tree(atoms[a:b], emit) for a, b in zip(cuts, cuts[1:])]
 
 
-def _rows(entity: str, nodes: list[tuple], chunk: int | None, wanted: np.ndarray | None) -> pd.DataFrame:
-    """Output rows; of closed nodes only those that are a session at a wanted threshold."""
-    table = np.array(nodes, dtype=np.int64).reshape(-1, 5)
-    if wanted is not None and chunk is None:
-        low = np.searchsorted(wanted, table[:, 3], side="left")
-        table = table[(low < len(wanted)) & (wanted[np.minimum(low, len(wanted) - 1)] < table[:, 4])]
-    parent = pd.array(table[:, 4], dtype="Int64")
-    parent[table[:, 4] == _NO_GAP] = pd.NA
-    return pd.DataFrame(
-        {
-            "entity": entity, "start_us": table[:, 0], "end_us": table[:, 1], "n_events": table[:, 2], "gap_us": table[:, 3],
-            "parent_gap_us": parent, "chunk": pd.array([pd.NA if chunk is None else chunk] * len(table), dtype="Int64"),
-        }
-    )
+def _wanted(table: np.ndarray, wanted: np.ndarray | None) -> np.ndarray:
+    """Which closed nodes (start, end, n, height, parent) are a session at a wanted threshold."""
+    if wanted is None:
+        return np.ones(len(table), dtype=bool)
+    low = np.searchsorted(wanted, table[:, 3], side="left")
+    return (low < len(wanted)) & (wanted[np.minimum(low, len(wanted) - 1)] < table[:, 4])
+
+
+class _Out:
+    """Output rows of many entities, gathered into batches of some size."""
+
+    def __init__(self, names: pa.Array, wanted: np.ndarray | None):
+        self.names, self.wanted = names, wanted
+        self.nodes: list[tuple] = []
+        self.owners: list[tuple[int, int]] = []
+
+    def close(self, entity: int, before: int) -> None:
+        self.owners.append((entity, len(self.nodes) - before))
+
+    def batch(self, chunk: int | None = None) -> pa.RecordBatch:
+        table = np.array(self.nodes, dtype=np.int64).reshape(-1, 5)
+        owner = np.repeat([x[0] for x in self.owners], [x[1] for x in self.owners]).astype(np.int64)
+        if chunk is None:
+            kept = _wanted(table, self.wanted)
+            table, owner = table[kept], owner[kept]
+        self.nodes, self.owners = [], []
+        parent = pa.array(table[:, 4], pa.int64(), mask=table[:, 4] == _NO_GAP)
+        at = pa.array([chunk] * len(table), pa.int64())
+        columns = [self.names.take(pa.array(owner)), *(pa.array(table[:, k]) for k in range(4)), parent, at]
+        return pa.RecordBatch.from_arrays(columns, ["entity", "start_us", "end_us", "n_events", "gap_us", "parent_gap_us", "chunk"])
 
 
 def _chunk_trees(wanted: np.ndarray | None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]
-        if not parts:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        whole = pa.Table.from_batches(held)
         chunk = TaskContext.get().partitionId()
-        code, names = pd.factorize(np.concatenate([p["entity"].to_numpy() for p in parts]))
-        time = np.concatenate([p["t"].to_numpy() for p in parts])
-        count = np.concatenate([p["n"].to_numpy() for p in parts])
+        coded = whole.column("entity").combine_chunks().dictionary_encode()
+        names, code = coded.dictionary, coded.indices.to_numpy()
+        time, count = whole.column("t").to_numpy(), whole.column("n").to_numpy()
         cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
-        zeros = [0] * len(code)
+        out, spine = _Out(names, wanted), _Out(names, wanted)
         for a, b in zip(cuts, cuts[1:]):
-            times = time[a:b].tolist()
-            atoms = list(zip(times, times, count[a:b].tolist(), zeros[a:b]))
-            nodes: list[tuple] = []
-            name = names[code[a]]
+            before, atoms = len(out.nodes), []
+            for at in range(a, b, PIECE):
+                times = time[at : min(b, at + PIECE)].tolist()
+                part = [(t, t, n, 0) for t, n in zip(times, count[at : min(b, at + PIECE)].tolist())]
+                # a long run is taken in pieces, as the merge takes chunks
+                atoms += part if b - a <= PIECE else _skeleton(part, True, True, out.nodes)
             if a == 0 or b == len(code):
-                kept = _skeleton(atoms, a == 0, b == len(code), nodes)
-                yield _rows(name, [(*x, _NO_GAP) for x in kept], chunk, wanted)
+                spine.nodes += [(*x, _NO_GAP) for x in _skeleton(atoms, a == 0, b == len(code), out.nodes)]
+                spine.close(code[a], sum(n for _, n in spine.owners))
             else:
-                nodes.append((*_tree(atoms, nodes), _NO_GAP))
-            if nodes:
-                yield _rows(name, nodes, None, wanted)
+                out.nodes.append((*_tree(atoms, out.nodes), _NO_GAP))
+            out.close(code[a], before)
+            if len(out.nodes) >= PIECE:
+                yield out.batch()
+        yield out.batch()
+        yield spine.batch(chunk)
 
     return run
 
 
 def _merge(wanted: np.ndarray | None, span: int, final: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start_us", kind="stable")
-        atoms = list(
-            zip(pdf["start_us"].tolist(), pdf["end_us"].tolist(), pdf["n_events"].tolist(), pdf["gap_us"].tolist())
-        )
-        name, nodes = pdf["entity"].iloc[0], []
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("start_us")
+        atoms = list(zip(*(part.column(c).to_pylist() for c in ("start_us", "end_us", "n_events", "gap_us"))))
+        names = part.column("entity").combine_chunks().unique()
+        out, spine = _Out(names, wanted), _Out(names, wanted)
         if final:
-            root = _tree(atoms, nodes)
-            return _rows(name, [*nodes, (*root, _NO_GAP)], None, wanted)
-        kept = [(*x, _NO_GAP) for x in _skeleton(atoms, True, True, nodes)]
-        return pd.concat([_rows(name, kept, int(pdf["chunk"].iloc[0]) // span, wanted), _rows(name, nodes, None, wanted)])
+            out.nodes.append((*_tree(atoms, out.nodes), _NO_GAP))
+        else:
+            spine.nodes += [(*x, _NO_GAP) for x in _skeleton(atoms, True, True, out.nodes)]
+        out.close(0, 0)
+        spine.close(0, 0)
+        return pa.Table.from_batches([out.batch(), spine.batch(part.column("chunk")[0].as_py() // span)])
 
     return run
 
@@ -136,13 +161,13 @@ def gap_tree(events: DataFrame, entity: Column, time_us: Column, item: Column, g
     # the groupings follow the range partitioning, so this is the only shuffle of the events
     leaves = rows.repartitionByRange("entity", "t").dropDuplicates(["entity", "t", "item"]).groupBy("entity", "t")
     leaves = leaves.agg(F.count("*").alias("n")).sortWithinPartitions("entity", "t")
-    stage = materialize(leaves.mapInPandas(_chunk_trees(wanted), _SCHEMA), "gap-tree")
+    stage = materialize(leaves.mapInArrow(_chunk_trees(wanted), _SCHEMA), "gap-tree")
     closed, atoms = [stage.filter("chunk is null")], stage.filter("chunk is not null")
     chunks = 1 + (atoms.agg(F.max("chunk")).first()[0] or 0)
     while True:
         final = chunks <= FAN_IN
         group = [F.col("entity")] if final else [F.col("entity"), F.floor(F.col("chunk") / FAN_IN).alias("part")]
-        merged = atoms.groupBy(*group).applyInPandas(_merge(wanted, FAN_IN, final), _SCHEMA)
+        merged = atoms.groupBy(*group).applyInArrow(_merge(wanted, FAN_IN, final), _SCHEMA)
         if final:
             closed.append(merged)
             break

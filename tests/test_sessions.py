@@ -71,3 +71,20 @@ def test_growing_and_equal_gaps(spark):
 def test_empty(spark):
     assert by_tree(spark, [], [5], None) == {5: []}
     assert by_tree(spark, [(None, None, None)], [5], [5]) == {5: []}
+
+
+def test_pieces_of_a_long_run():
+    """The chunk builder taking a run in small pieces gives the same nodes as one tree."""
+    import numpy as np
+
+    from notegraph.operators import sessions
+
+    rng = np.random.default_rng(5)
+    times = np.cumsum(rng.integers(0, 50, 3000)).tolist()
+    atoms = [(t, t, 1, 0) for t in dict.fromkeys(times)]
+    whole: list[tuple] = []
+    whole.append((*sessions._tree(atoms, whole), sessions._NO_GAP))
+    cut: list[tuple] = []
+    skeleton = [x for a in range(0, len(atoms), 97) for x in sessions._skeleton(atoms[a : a + 97], True, True, cut)]
+    cut.append((*sessions._tree(skeleton, cut), sessions._NO_GAP))
+    assert sorted(cut) == sorted(whole)
