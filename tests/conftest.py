@@ -6,6 +6,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -39,7 +40,7 @@ def duck():
 
 
 def _plain(value):
-    if value is None or value != value:
+    if pd.isna(value):
         return None
     return f"{float(value):.6f}" if isinstance(value, (int, float)) and not isinstance(value, bool) else str(value)
 
