@@ -26,6 +26,9 @@ WORDS = 3
 THRESHOLD = 0.5
 #: A shingle that may be in more sets than this has its tile cut into blocks by the hash of the set.
 HOT = 2048
+#: The tiles are spread over a bucket for each so many words, but at least one for each core: a set's bitmap goes once to every
+#: bucket where it has posts, so more buckets than the data needs cost space.
+BUCKET_WORDS = 2_500_000
 #: The sketch of shingle counts has a bucket of one byte for each word of the collection, but between 2^16 and 2^26.
 SKETCH_BITS = (16, 26)
 _PAIRS_AT_ONCE = 1 << 21
@@ -305,7 +308,7 @@ def near_duplicates(records: DataFrame, key: Column, text: Column, words: int =
     bits = min(max(int(np.ceil(np.log2(n_words))), SKETCH_BITS[0]), SKETCH_BITS[1])
     counts = sketch.build(texts.select("text"), lambda batch: shingles(batch.column("text"), words)[1], bits)
     levels = spark.sparkContext.broadcast(counts)
-    join = Join(words, threshold, int(spark.conf.get("spark.sql.shuffle.partitions")), bits, hot)
+    join = Join(words, threshold, max(spark.sparkContext.defaultParallelism, -(-n_words // BUCKET_WORDS)), bits, hot)
 
     def posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
