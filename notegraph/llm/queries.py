@@ -160,6 +160,13 @@ counted as (select field, token as term, count(*) as occurrences, count(distinct
 marked as (select field, term, occurrences, n_records,
   case when n_records <= 2 then 'rare' when 20 * n_records > n_all then 'common' end as mark from counted join sized using (field))
 """
+_PAIRS = """n as (select id, any_value(title) as title, any_value(body) as body from notes where id is not null group by id),
+words as (select id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(body, '')), '[\\p{L}\\p{N}]+') as w from n),
+grams as (select distinct id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g
+  from (select id, w, unnest(generate_series(1, len(w) - 2)) as i from words where len(w) >= 3)),
+sizes as (select id, count(*) as n from grams group by id),
+shared as (select x.id as id_a, y.id as id_b, count(*) as s from grams x join grams y on x.g = y.g and x.id < y.id group by all),
+pairs as (select id_a, id_b from shared join sizes p on id_a = p.id join sizes q on id_b = q.id where 2 * s >= p.n + q.n - s)"""
 _BASKETS = f"""
 b as (select id, lower(trim(t, {_TRIM})) as tag from (select id, unnest(tags) as t from notes where id is not null)),
 items as (select distinct id, tag from b where tag <> ''),
@@ -170,13 +177,12 @@ scored as (select tag_a, tag_b, ab, p.n as count_a, q.n as count_b, (select coun
 """
 
 SQL = {
-    "p1_found": """with n as (select id, any_value(title) as title, any_value(body) as body from notes where id is not null group by id),
-words as (select id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(body, '')), '[\\p{L}\\p{N}]+') as w from n),
-grams as (select distinct id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g
-  from (select id, w, unnest(generate_series(1, len(w) - 2)) as i from words where len(w) >= 3)),
-sizes as (select id, count(*) as n from grams group by id),
-shared as (select x.id as id_a, y.id as id_b, count(*) as s from grams x join grams y on x.g = y.g and x.id < y.id group by all)
-select id_a, id_b from shared join sizes p on id_a = p.id join sizes q on id_b = q.id where 2 * s >= p.n + q.n - s""",
+    "p1_found": f"with {_PAIRS} select id_a, id_b from pairs",
+    "p1_groups": f"""with recursive {_PAIRS}, e as (select id_a as a, id_b as b from pairs union select id_b, id_a from pairs),
+reach(node, other) as (select a, b from e union select reach.node, e.b from reach join e on e.a = reach.other),
+first as (select node, min(other) as o from reach group by node), links as (select a as id, count(*) as k from e group by a)
+select words.id, min(words.id) over (partition by w) as class_id, coalesce(least(words.id, o), words.id) as group_id, coalesce(k, 0)::bigint as n_links
+from words left join first on first.node = words.id left join links on links.id = words.id where len(w) >= 3""",
     "p2_found": f"with {_TERMS} select field, term, mark from marked where mark is not null",
     "p2_terms": f"with {_TERMS} select * from marked",
     "p2_ngrams": f"""with {_TOKENS},
