@@ -31,8 +31,11 @@ def note_view(notes: DataFrame, *columns: str) -> DataFrame:
     return distinct_notes(notes, *columns).select("id", *out)
 
 
-def view(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    return note_view(table(spark, folder, "notes"), *columns)
+def view(spark: SparkSession, folder: str, *columns: str, where: str | None = None) -> DataFrame:
+    """The view of the notes table. ``where`` filters the stored rows, so it reaches the scan and shrinks the shuffle; as
+    repeated rows of an id are identical it may stand before their reduction."""
+    notes = table(spark, folder, "notes")
+    return note_view(notes if where is None else notes.filter(where), *columns)
 
 
 def list_notes(notes: DataFrame, kind: str | None = None, status: str | None = None, tag: str | None = None, parent: str | None = None) -> DataFrame:

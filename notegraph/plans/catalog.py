@@ -121,7 +121,7 @@ def l07_most_accessed(spark: SparkSession, folder: str) -> DataFrame:
 
 def r05_note_search(spark: SparkSession, folder: str) -> DataFrame:
     """The five best active notes for every concept term, from an index over the active notes alone."""
-    notes = view(spark, folder, "status", "title", "body").filter("status = 'active'")
+    notes = view(spark, folder, "title", "body", where="status = 'active'")
     docs = notes.select("id", F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("body")).alias("text"))
     terms = table(spark, folder, "concept_entries").select(folded(F.col("term")).alias("text")).filter("text <> ''").distinct()
     found = retrieval.search(retrieval.build_index(docs), terms.select(F.col("text").alias("query_id"), "text"), 5)

@@ -22,7 +22,7 @@ def _stamp(name: str):
 
 
 def f01_list(spark: SparkSession, folder: str) -> DataFrame:
-    notes = view(spark, folder, "type", "status", "tags", "weight")
+    notes = view(spark, folder, "type", "status", "tags", "weight", where="type = 'decision' and status = 'active'")
     return ops.list_notes(notes, kind="decision", status="active", tag="backend").select("id", "weight")
 
 
@@ -31,7 +31,7 @@ def f02_stale(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def f05_pulse(spark: SparkSession, folder: str) -> DataFrame:
-    live = view(spark, folder, "type", "status", "weight").filter("type = 'task' and status = 'active'")
+    live = view(spark, folder, "weight", where="type = 'task' and status = 'active'")
     return live.select("id", "weight").orderBy(F.desc("weight"), "id")
 
 
@@ -73,7 +73,7 @@ def f12_visible_characters(spark: SparkSession, folder: str) -> DataFrame:
 
 def f17_long_bodies(spark: SparkSession, folder: str) -> DataFrame:
     words = F.size(tx.fields(F.col("body"))).cast("bigint")
-    return view(spark, folder, "status", "body").filter("status = 'active'").select("id", words.alias("n_words")).filter("n_words > 100")
+    return view(spark, folder, "body", where="status = 'active'").select("id", words.alias("n_words")).filter("n_words > 100")
 
 
 def f18_uncrystallized(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,19 +83,20 @@ def f18_uncrystallized(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def f20_signal(spark: SparkSession, folder: str) -> DataFrame:
-    notes = view(spark, folder, "status", "access_count", "created_at").filter("status = 'active' and access_count >= 5 and created_at is not null")
+    notes = view(spark, folder, "access_count", "created_at", where="status = 'active' and access_count >= 5 and created_at is not null")
     rate = F.col("access_count") / F.greatest(sc.age_days(F.col("created_at"), AS_OF), F.lit(1)).cast("double")
     return notes.select("id", F.round(rate, 6).alias("rate")).filter("rate > 0.5")
 
 
 def f21_decay_risk(spark: SparkSession, folder: str) -> DataFrame:
-    notes = view(spark, folder, "status", "weight", "origin", "type", "last_accessed", "access_count")
-    found = ops.decay_risk(notes, AS_OF, replace(schema.SCORING, min_threshold=0.5))
+    heavy = "status = 'active' and weight >= 0.7 and last_accessed is not null"
+    notes = view(spark, folder, "status", "weight", "origin", "type", "last_accessed", "access_count", where=heavy)
+    found = ops.decay_risk(notes, AS_OF, replace(schema.SCORING, min_threshold=0.6))
     return found.select("id", "weight", "recency_factor", F.round("score", 6).alias("score"), F.round("score_gap", 6).alias("score_gap"))
 
 
 def f22_decay_preview(spark: SparkSession, folder: str) -> DataFrame:
-    notes = view(spark, folder, "status", "last_accessed").filter("status = 'active'")
+    notes = view(spark, folder, "last_accessed", where="status = 'active'")
     return notes.select("id", sc.recency(sc.age_days(F.col("last_accessed"), AS_OF)).alias("factor")).filter("factor <= 0.7")
 
 
@@ -193,7 +194,7 @@ def j04_isolated(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def j06_shared_tags(spark: SparkSession, folder: str) -> DataFrame:
-    notes = view(spark, folder, "status", "tags").filter("status <> 'deprecated'")
+    notes = view(spark, folder, "tags", where="status <> 'deprecated'")
     return ops.shared_term_pairs(notes.select("id", F.explode("tags").alias("term")))
 
 
@@ -307,8 +308,8 @@ union all select id, 'weight' from x where not (weight between 0.0 and 1.0) unio
   (weight + least(access_count * 0.03::double, 0.15::double) + {q.lookup('origin', schema.SALIENCE)} + (case when type = 'explore' then 0.1 else 0.0 end)::double)
     * {q.recency('last_accessed')} as score, {q.days('last_accessed')} as d from n
   where status = 'active' and weight >= 0.7 and (origin = 'failure' or type = 'explore') and last_accessed is not null)
-select id, weight, recency_factor, round(score, 6) as score, round(score - 0.5::double, 6) as score_gap from x
-where d >= 30 and d < 90 and score - 0.5::double >= 0 and score - 0.5::double <= 0.1::double""",
+select id, weight, recency_factor, round(score, 6) as score, round(score - 0.6::double, 6) as score_gap from x
+where d >= 30 and d < 90 and score - 0.6::double >= 0 and score - 0.6::double <= 0.1::double""",
     "f22_decay_preview": f"with {NOTES} select id, {q.recency('last_accessed')} as factor from n where status = 'active' and {q.recency('last_accessed')} <= 0.7",
     "a01_tag_counts": f"with {NOTES}, {_COUNTS} select tag, n from counts",
     "a02_concept_counts": f"""with {NOTES}, {_BODY_LINKS} select term, count(*) as n from (select unnest(tags) as term from n

@@ -23,7 +23,7 @@ def _docs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _note_texts(spark: SparkSession, folder: str) -> DataFrame:
-    notes = view(spark, folder, "status", "title", "body").filter("status <> 'deprecated'")
+    notes = view(spark, folder, "title", "body", where="status <> 'deprecated'")
     return notes.select("id", F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("body")).alias("text"))
 
 
