@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,9 @@ BUCKET_WORDS = 2_500_000
 #: The sketch of shingle counts has a bucket of one byte for each word of the collection, but between 2^16 and 2^26.
 SKETCH_BITS = (16, 26)
 _PAIRS_AT_ONCE = 1 << 21
+#: Texts that are posted at once: their number takes the 13 bits above 8 bits of rarity and 43 bits of the shingle.
+_TEXTS_AT_ONCE = 1 << 13
+_TEXT, _RARITY = np.uint64(51), np.uint64(43)
 _TILE_SCHEMA = "bucket int, block binary"
 _PAIR_SCHEMA = "lo bigint, hi bigint"
 _INDEX, _PROBE = 1, 2
@@ -52,24 +56,26 @@ def _narrow(values: np.ndarray) -> np.ndarray:
     return values.astype(np.min_scalar_type(int(values.max()))) if len(values) else values.astype(np.uint8)
 
 
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word: its bytes' numbers, each turned by the byte's place, summed and mixed."""
+    words = words.cast(pa.large_string())
+    offsets = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    starts, length = offsets[:-1] - offsets[0], np.diff(offsets)
+    out = np.zeros(len(words), dtype=np.uint64)
+    if len(raw):
+        place = np.arange(len(raw)) - np.repeat(starts, length)
+        out[length > 0] = np.add.reduceat(_BYTES[raw] * _PLACES[place & 63], starts[length > 0])
+    return _mix(out)
+
+
 def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(text number, 56-bit shingle) of every run of ``words`` words; the words of a text are separated by single spaces."""
-    texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
-    ends = offsets[1:] - offsets[0]
-    if not len(raw):
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
-    letter = raw != 32
-    begin = np.zeros(len(raw), dtype=bool)
-    begin[np.concatenate([[0], ends[:-1]])[np.diff(ends, prepend=0) > 0]] = True
-    starts = np.flatnonzero(letter & (begin | np.concatenate([[True], ~letter[:-1]])))
-    place = np.arange(len(raw), dtype=np.int32)
-    place -= np.repeat(starts, np.diff(np.append(starts, len(raw)))).astype(np.int32)
-    part = _BYTES[raw] * _PLACES[place & 63]
-    part[~letter] = 0
-    word = _mix(np.add.reduceat(part, starts))
-    owner = np.searchsorted(ends, starts, side="right")
+    parts = pc.split_pattern(texts, " ")
+    size = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+    coded = parts.flatten().dictionary_encode()
+    word = _word_hashes(coded.dictionary)[coded.indices.to_numpy()] if len(coded) else np.empty(0, dtype=np.uint64)
+    owner = np.repeat(np.arange(len(texts)), size)
     n = len(word) - words + 1
     if n <= 0:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
@@ -109,19 +115,21 @@ class Join:
 
     def posts(self, levels: np.ndarray, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """For each bucket of tiles a block of the sets that have posts there, with their bitmaps and posts."""
-        bounds, key = sorted_sets(batch.column("text"), self.words)
-        size = np.diff(bounds)
-        owner = np.repeat(np.arange(len(size)), size)
-        width = self.widths(size)
+        owner, key = shingles(batch.column("text"), self.words)
+        # text, rarity and shingle in one number: sorted, each set stands together with its rare shingles first
+        rarity = levels[sketch.bucket(key, self.bits)].astype(np.uint64)
+        packed = np.sort((owner.astype(np.uint64) << _TEXT) | (rarity << _RARITY) | (key >> np.uint64(56 - int(_RARITY))))
+        packed = packed[np.concatenate([[True], packed[1:] != packed[:-1]])] if len(packed) else packed
+        owner, rarity = (packed >> _TEXT).astype(np.int64), ((packed >> _RARITY) & np.uint64(255)).astype(np.uint8)
+        key = packed & ((np.uint64(1) << _RARITY) - np.uint64(1))
+        size = np.bincount(owner, minlength=batch.num_rows)
+        bounds = np.concatenate([[0], np.cumsum(size)])
         # bitmaps, one after the other
-        offset = np.concatenate([[0], np.cumsum(width // 8)])
-        bit = (_mix(key) & (width[owner] - 1).astype(np.uint64)).astype(np.int64)
-        image = np.zeros(offset[-1], dtype=np.uint8)
-        np.bitwise_or.at(image, offset[owner] + bit // 8, (1 << (bit % 8)).astype(np.uint8))
-        # rare shingles first
-        rarity = levels[sketch.bucket(key, self.bits)]
-        order = np.lexsort((key, rarity, owner))
-        key, rarity = key[order], rarity[order]
+        width = self.widths(size)
+        offset = np.concatenate([[0], np.cumsum(width)])
+        image = np.zeros(offset[-1], dtype=bool)
+        image[offset[owner] + (_mix(key) & (width[owner] - 1).astype(np.uint64)).astype(np.int64)] = True
+        image, offset = np.packbits(image, bitorder="little"), offset // 8
         rank = np.arange(len(key)) - bounds[:-1][owner] + 1
         own = size[owner]
         reach = own - np.ceil(self.threshold * own - 1e-9).astype(np.int64) + 1
@@ -296,8 +304,15 @@ def near_duplicates(records: DataFrame, key: Column, text: Column, words: int =
     compared whole. No records give empty results. Other columns are ignored.
     """
     spark = records.sparkSession
-    plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    base = records.select(key.cast("string").alias("id"), plain.alias("text")).filter("id is not null")
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = pc.utf8_lower(batch.column("text"))
+            spaced = pc.replace_substring_regex(low, pattern=r"[^\pL\pN]+", replacement=" ")
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pc.utf8_trim(spaced, characters=" ")], ["id", "text"])
+
+    base = records.select(key.cast("string").alias("id"), text.cast("string").alias("text")).filter("id is not null and text is not null")
+    base = base.mapInArrow(plain, "id string, text string")
     base = base.filter(F.length("text") - F.length(F.replace("text", F.lit(" "))) >= words - 1)
     base = materialize(base.select("id", F.xxhash64("text").alias("ref"), "text", F.monotonically_increasing_id().alias("row")), "words")
     repeated = base.groupBy("ref").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1")
@@ -312,7 +327,8 @@ def near_duplicates(records: DataFrame, key: Column, text: Column, words: int =
 
     def posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from join.posts(levels.value, batch)
+            for at in range(0, batch.num_rows, _TEXTS_AT_ONCE):
+                yield from join.posts(levels.value, batch.slice(at, _TEXTS_AT_ONCE))
 
     tiles = texts.mapInArrow(posts, _TILE_SCHEMA).repartitionById(join.buckets, F.col("bucket"))
     maybe = materialize(tiles.mapInArrow(join.tiles, _PAIR_SCHEMA).distinct(), "candidates")

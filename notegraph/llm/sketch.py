@@ -20,7 +20,7 @@ _BLOB = "slice int, blob binary"
 
 
 def bucket(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.uint32)
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -41,11 +41,11 @@ def build(df: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], bits:
         if not buckets:
             return
         value, count = np.unique(np.concatenate(buckets), return_counts=True)
-        cuts = np.searchsorted(value, np.arange(1, _SLICES, dtype=np.uint64) * np.uint64(width))
+        cuts = np.searchsorted(value, np.arange(1, _SLICES, dtype=np.uint32) * np.uint32(width))
         rows = []
         for k, (v, c) in enumerate(zip(np.split(value, cuts), np.split(count, cuts))):
             if len(v):
-                step = np.diff(v, prepend=np.uint64(k * width)).astype(np.uint32)
+                step = np.diff(v, prepend=np.uint32(k * width))
                 rows.append((k, zlib.compress(step.tobytes() + c.astype(np.uint32).tobytes(), 3)))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["slice", "blob"])
 
