@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from notegraph.scratch import scratch_dir
 
-LATE = "7 days"
-
 
 def stream_of(spark: SparkSession, folder: str, name: str, files_per_batch: int = 8) -> DataFrame:
     """The files of a table as a stream, whether it is a folder of files or one file; a pattern fits either."""
@@ -19,7 +17,7 @@ def stream_of(spark: SparkSession, folder: str, name: str, files_per_batch: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/{name}.parque[t]")
 
 
-def drain(rows: DataFrame, label: str, share: Callable[[DataFrame], DataFrame] | None = None, mode: str = "append") -> DataFrame:
+def drain(rows: DataFrame, label: str, share: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Run a stream over what is available now and return what it wrote.
 
     Each batch overwrites the folder of its own number, so a batch that is run again after a failure counts once.
@@ -29,9 +27,9 @@ def drain(rows: DataFrame, label: str, share: Callable[[DataFrame], DataFrame] |
     out = f"{base}/out"
 
     def keep(batch: DataFrame, number: int) -> None:
-        (share(batch) if share else batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        share(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    query = rows.writeStream.outputMode("append").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
     return spark.read.option("basePath", out).parquet(out)
 
@@ -48,12 +46,18 @@ def access_counts(log: DataFrame) -> DataFrame:
 
 
 def windowed_counts(events: DataFrame, time: str, key: str, length: str, slide: str | None = None) -> DataFrame:
-    """start, key, n per window; later updates of a window replace earlier ones. Rows without time do not count."""
-    rows = events.filter(F.col(time).isNotNull()).withColumn("_at", F.col(time).cast("timestamp")).withWatermark("_at", LATE)
-    span = F.window("_at", length, slide) if slide else F.window("_at", length)
-    counts = rows.groupBy(span.alias("w"), F.col(key).alias("key")).agg(F.count("*").alias("n"))
-    parts = drain(counts.select(F.col("w.start").alias("start"), "key", "n"), "windows", mode="update")
-    return parts.groupBy("start", "key").agg(F.max_by("n", "batch").alias("n"))
+    """start, key, n per window: per batch partial counts, added up on reading. Rows without time do not count.
+
+    No watermark: a replay reads files in any order, so no row is too late.
+    """
+
+    def share(batch: DataFrame) -> DataFrame:
+        span = F.window("_at", length, slide) if slide else F.window("_at", length)
+        counts = batch.filter("_at is not null").groupBy(span.alias("w"), "key").agg(F.count("*").alias("n"))
+        return counts.select(F.col("w.start").alias("start"), "key", "n")
+
+    parts = drain(events.select(F.col(time).cast("timestamp").alias("_at"), F.col(key).alias("key")), "windows", share)
+    return parts.groupBy("start", "key").agg(F.sum("n").alias("n"))
 
 
 def folded_edges(log: DataFrame) -> DataFrame:
