@@ -104,6 +104,17 @@ def shared_term_pairs(terms: DataFrame, at_least: int = 3) -> DataFrame:
     return once.select("a", "b", F.size(shared).alias("n_shared")).filter(F.col("n_shared") >= at_least)
 
 
+def link_candidates(notes: DataFrame, edges: DataFrame, at_least: int = 3) -> DataFrame:
+    """a < b, n_shared: pairs that share terms and have no edge from a to b yet, from notes (id, status, tags) and live edges.
+
+    Terms are the tags of notes that are not deprecated and the concepts that a source of any status refers to.
+    """
+    tags = notes.filter(F.coalesce("status", F.lit("")) != "deprecated").select("id", F.explode("tags").alias("term"))
+    concepts = edges.filter("edge_type = 'concept_ref'").select(F.col("source").alias("id"), F.col("target").alias("term"))
+    linked = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).distinct()
+    return shared_term_pairs(tags.unionByName(concepts), at_least).join(linked, ["a", "b"], "left_anti")
+
+
 def flow(notes: DataFrame, as_of: str, windows: tuple[int, ...] = (7, 30, 90)) -> DataFrame:
     """days, created, seen: notes created and last accessed within each of the windows before the clock."""
     made, seen = age_days(F.col("created_at"), as_of), age_days(F.col("last_accessed"), as_of)

@@ -198,6 +198,11 @@ def j06_shared_tags(spark: SparkSession, folder: str) -> DataFrame:
     return ops.shared_term_pairs(notes.select("id", F.explode("tags").alias("term")))
 
 
+def j06_shared_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """Unlinked pairs with three tags or concepts in common; j06_shared_tags has those by tags alone, linked or not."""
+    return ops.link_candidates(view(spark, folder, "status", "tags"), graph.live_edges(table(spark, folder, "edges")))
+
+
 def j10_broken_links(spark: SparkSession, folder: str) -> DataFrame:
     return graph.broken_links(view(spark, folder, *schema.LINK_TYPES))
 
@@ -343,6 +348,11 @@ select doc_id, len(m)::bigint as n_items, len(list_filter(m, lambda v: lower(v)
     "j04_isolated": f"with {NOTES}, {_LIVE_EDGES} select id from n where id not in (select source from le) and id not in (select target from le)",
     "j06_shared_tags": f"""with {NOTES}, i as (select distinct id, tag from (select id, unnest(tags) as tag from n where status <> 'deprecated'))
 select x.id as a, y.id as b, count(*)::int as n_shared from i x join i y on x.tag = y.tag and x.id < y.id group by all having count(*) >= 3""",
+    "j06_shared_terms": f"""with {NOTES}, le as (select source, target, edge_type from edges group by all having not bool_or(coalesce(deleted, false))),
+i as (select distinct id, term from (select id, unnest(tags) as term from n where coalesce(status, '') <> 'deprecated' union all select source, target from le where edge_type = 'concept_ref')
+  where id is not null and term is not null)
+select x.id as a, y.id as b, count(*)::int as n_shared from i x join i y on x.term = y.term and x.id < y.id
+where not exists (select 1 from le where le.source = x.id and le.target = y.id) group by all having count(*) >= 3""",
     "j10_broken_links": f"""with {NOTES}, {LINKS}, own as (select distinct {_SCOPE.format('id')} as scope from n)
 select distinct id, link_type, target, case when {_SCOPE.format('target')} in (select scope from own) then 'broken_link' else 'cross_project_ref' end as problem
 from links where target not in (select id from n)""",
