@@ -109,17 +109,17 @@ def ready(notes: DataFrame) -> DataFrame:
     return tasks.join(blocked_by(notes), "id", "left_anti")
 
 
-def levels(edges: DataFrame, limit: int = 64) -> DataFrame:
-    """node, level: steps from the nearest source without predecessors over (source, target); nodes only on cycles have none."""
+def levels(edges: DataFrame) -> DataFrame:
+    """node, level: steps from the nearest source without predecessors over (source, target); nodes that none reaches have none."""
     spark = edges.sparkSession
     steps = materialize(edges.select("source", "target").distinct(), "steps")
     first = steps.select(F.col("source").alias("node")).distinct().join(steps.select(F.col("target").alias("node")), "node", "left_anti")
     first = first.select("node", F.lit(0).cast("bigint").alias("level"))
     done = [write(first, "levels")]
     frontier = read(spark, done[0], first)
-    for level in range(1, limit + 1):
-        if frontier.isEmpty():
-            break
+    level = 0
+    while not frontier.isEmpty():  # nodes reached are left out, so it ends on cycles too
+        level += 1
         ahead = steps.join(frontier.select(F.col("node").alias("source")), "source", "left_semi").select(F.col("target").alias("node")).distinct()
         ahead = ahead.join(read(spark, done, first).select("node"), "node", "left_anti").select("node", F.lit(level).cast("bigint").alias("level"))
         done.append(write(ahead, "levels"))

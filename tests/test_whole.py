@@ -1,6 +1,6 @@
 """Cases in which a shortened job gives other rows than the whole one."""
 
-from notegraph.operators import notes
+from notegraph.operators import graph, notes
 
 
 def test_shared_terms_are_tags_and_concepts_without_linked_pairs(spark):
@@ -10,3 +10,9 @@ def test_shared_terms_are_tags_and_concepts_without_linked_pairs(spark):
     edges = spark.createDataFrame([*concepts, ("f", "c", "relates_to"), ("d", "e", "relates_to")], "source string, target string, edge_type string")
     # the link of c and f goes from the larger id to the smaller one, so it does not count
     assert set(map(tuple, notes.link_candidates(found, edges).collect())) == {("a", "b", 3), ("c", "f", 3)}
+
+
+def test_levels_of_a_long_chain(spark):
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(70)] + [("x", "y"), ("y", "x"), ("n70", "n69")]
+    found = {r.node: r.level for r in graph.levels(spark.createDataFrame(chain, "source string, target string")).collect()}
+    assert found == {f"n{i}": i for i in range(71)}
