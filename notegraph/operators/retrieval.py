@@ -82,11 +82,13 @@ def thresholds(n_docs: int) -> tuple[float, float]:
     return min(max(2.0 * ratio, 0.3), 6.0), min(max(1.0 * ratio, 0.15), 3.0)
 
 
-def seeds(topics: DataFrame, notes: DataFrame, concepts: DataFrame, k: int = 10) -> DataFrame:
+def seeds(topics: DataFrame, notes: DataFrame, concepts: DataFrame, k: int = 10, index: Index | None = None) -> DataFrame:
     """query_id, id, strength, seed_pos: the notes to start from for each topic (query_id, text).
 
     Per topic keyword: 1 for a concept reference (``concepts``: source, target), 1 for a tag, 0.3 for a body word; 0.5 for a
     keyword inside a title, only for topics without concept and tag hits. Each side is exploded and joined on the keyword.
+    With an ``index`` of the notes its 20 best for a topic with keywords add half their score over the topic's best score.
+    Ambient and co-access signals are left out.
     """
     asked = topics.select("query_id", F.explode(tx.keywords(F.col("text"))).alias("word"))
     by_concept = asked.join(concepts.select(F.col("source").alias("id"), F.col("target").alias("word")), "word").select("query_id", "id", F.lit(1.0).alias("s"))
@@ -103,6 +105,11 @@ def seeds(topics: DataFrame, notes: DataFrame, concepts: DataFrame, k: int = 10)
     titles = titles.filter("title <> ''").select("id", "title", F.explode(F.array_distinct(F.concat(grams, letters))).alias("gram"))
     met = weak_topics.withColumn("gram", F.left("word", F.lit(2))).join(titles, "gram").filter(F.contains("title", "word"))
     by_title = met.select("query_id", "id", F.lit(0.5).alias("s"))
-    scored = strong.unionByName(by_body).unionByName(by_title).groupBy("query_id", "id").agg(F.sum("s").alias("strength"))
+    signals = strong.unionByName(by_body).unionByName(by_title)
+    if index is not None:
+        found = search(index, topics.join(asked.select("query_id").distinct(), "query_id", "left_semi"), 20)
+        share = F.col("score") / F.max("score").over(Window.partitionBy("query_id")) * 0.5
+        signals = signals.unionByName(found.select("query_id", "id", share.alias("s")))
+    scored = signals.groupBy("query_id", "id").agg(F.sum("s").alias("strength"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("strength", 9)), "id"))
     return scored.withColumn("seed_pos", place).filter(F.col("seed_pos") <= k)

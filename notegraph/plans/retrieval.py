@@ -112,19 +112,34 @@ def _topics(spark: SparkSession, folder: str) -> DataFrame:
     return terms.select(F.col("text").alias("query_id"), "text")
 
 
-def _seeds(spark: SparkSession, folder: str) -> DataFrame:
+def _seeds(spark: SparkSession, folder: str, bm25: bool = False) -> DataFrame:
     notes = view(spark, folder, "tags", "title", "body")
     refs = graph.live_edges(table(spark, folder, "edges")).filter("edge_type = 'concept_ref'").select("source", "target")
-    return retrieval.seeds(_topics(spark, folder), notes, refs)
+    texts = notes.select("id", F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("body")).alias("text"))
+    return retrieval.seeds(_topics(spark, folder), notes, refs, index=retrieval.build_index(texts) if bm25 else None)
 
 
 def r16_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    """Seeds without the text search; r16_searched_seeds has them with it."""
     return _seeds(spark, folder).select("query_id", "id", F.round("strength", 6).alias("strength"), "seed_pos")
 
 
+def r16_searched_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    return _seeds(spark, folder, bm25=True).select("query_id", "id", F.round("strength", 6).alias("strength"), "seed_pos")
+
+
 def g05_context(spark: SparkSession, folder: str) -> DataFrame:
     """For every concept term: its seed notes and what is found around them within two hops."""
-    seeds = materialize(_seeds(spark, folder), "seeds")
+    return _context(spark, folder, _seeds(spark, folder))
+
+
+def g05_searched_context(spark: SparkSession, folder: str) -> DataFrame:
+    """The same around the seeds that count the text search too."""
+    return _context(spark, folder, _seeds(spark, folder, bm25=True))
+
+
+def _context(spark: SparkSession, folder: str, seeds: DataFrame) -> DataFrame:
+    seeds = materialize(seeds, "seeds")
     notes = view(spark, folder, "weight", "status", "origin", "type", "access_count", "last_accessed")
     found = graph.traverse(seeds, notes, graph.live_edges(table(spark, folder, "edges")), AS_OF)
     return found.select("query_id", "id", "hop", F.round("score", 6).alias("score"), "rank")
@@ -254,6 +269,13 @@ every as (select * from strong union all select query_id, id, 0.3::double from a
 seeds as (select * from (select query_id, id, sum(s) as strength, row_number() over (partition by query_id order by round(sum(s), 9) desc, id)::int as seed_pos
   from every group by query_id, id) where seed_pos <= 10)"""
 
+_SEARCHED_SEEDS = _SEEDS.replace("seeds as (", q.bm25("select id, coalesce(title, '') || ' ' || body as text from n").strip() + f""",
+terms as (select query_id, term, count(*) as times from (select text as query_id, unnest({q.tokens('text')}) as term from topics where text in (select query_id from asked)) group by all),
+hits as (select query_id, p.id, sum(times * {q.WEIGHT}) as score from terms join t using (term) join p using (term) group by all),
+best as (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as r from hits where score > 0),
+all_signals as (select * from every union all select query_id, id, score / max(score) over (partition by query_id) * 0.5::double from best where r <= 20),
+seeds as (""").replace("from every group", "from all_signals group")
+
 
 def _hop(k: int, before: str, frontier: str) -> str:
     score = q.relevance("edge_type", "0.0::double", "disputed")
@@ -303,6 +325,12 @@ select component, count(*) as n, max(node) as last from comp group by component
 v0 as (select query_id, id, 0 as hop, seed_pos::bigint as place, {q.relevance(chr(39) + 'seed' + chr(39), '0.0::double', '0')} as score from seeds join n using (id)),
 {_hop(1, 'v0', 'v0')}, v1 as (select * from v0 union all select * from hop1), {_hop(2, 'v1', 'hop1')}, v2 as (select * from v1 union all select * from hop2)
 select query_id, id, hop::int as hop, round(score, 6) as score, r::int as rank
+from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as r from v2) where r <= 12""",
+    "r16_searched_seeds": f"with {_SEARCHED_SEEDS} select query_id, id, round(strength, 6) as strength, seed_pos from seeds",
+    "g05_searched_context": f"""with {_SEARCHED_SEEDS}, links as (select * from le where edge_type <> 'concept_ref'),
+v0 as (select query_id, id, 0 as hop, seed_pos::bigint as place, {q.relevance(chr(39) + 'seed' + chr(39), '0.0::double', '0')} as score from seeds join n using (id)),
+{_hop(1, 'v0', 'v0')}, v1 as (select * from v0 union all select * from hop1), {_hop(2, 'v1', 'hop1')}, v2 as (select * from v1 union all select * from hop2)
+select query_id, id, hop::int as hop, round(score, 6) as score, r::int as rank
 from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as r from v2) where r <= 12""",
     "c02_heading_chunks": f"""with x as (select doc_id as id, unnest(string_split(replace(coalesce(text, ''), chr(10) || '#', chr(1) || '#'), chr(1))) as sec,
   generate_subscripts(string_split(replace(coalesce(text, ''), chr(10) || '#', chr(1) || '#'), chr(1)), 1) as i from documents),

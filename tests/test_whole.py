@@ -1,6 +1,6 @@
 """Cases in which a shortened job gives other rows than the whole one."""
 
-from notegraph.operators import graph, notes
+from notegraph.operators import graph, notes, retrieval
 
 
 def test_shared_terms_are_tags_and_concepts_without_linked_pairs(spark):
@@ -16,3 +16,16 @@ def test_levels_of_a_long_chain(spark):
     chain = [(f"n{i}", f"n{i + 1}") for i in range(70)] + [("x", "y"), ("y", "x"), ("n70", "n69")]
     found = {r.node: r.level for r in graph.levels(spark.createDataFrame(chain, "source string, target string")).collect()}
     assert found == {f"n{i}": i for i in range(71)}
+
+
+def test_seeds_count_the_text_search(spark):
+    rows = [("a", [], "deploy", "nothing here"), ("b", ["cache"], "", "cache cache"), ("c", [], "a snake_case word", "plain"), ("d", [], "snake_case", "")]
+    found = spark.createDataFrame(rows, "id string, tags array<string>, title string, body string")
+    topics = spark.createDataFrame([("deploy", "deploy"), ("cache", "cache"), ("snake", "cache snake_case")], "query_id string, text string")
+    index = retrieval.build_index(found.selectExpr("id", "concat(title, ' ', body) as text"))
+    none = spark.createDataFrame([], "source string, target string")
+    got = {(r.query_id, r.id): round(r.strength, 6) for r in retrieval.seeds(topics, found, none, index=index).collect()}
+    assert got["deploy", "a"] == 0.5 + 0.5 and got["cache", "b"] == 1.0 + 0.3 + 0.5
+    # only the search finds c and d here: "snake_case" is one word to it and two to the keywords, and the topic has a tag hit
+    assert {k for k in got if k[0] == "snake"} == {("snake", "b"), ("snake", "c"), ("snake", "d")}
+    assert got["snake", "b"] == 1.0 + 0.3 + 0.5 and 0 < got["snake", "c"] < got["snake", "d"] < 0.5
