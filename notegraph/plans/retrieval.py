@@ -79,6 +79,14 @@ def r02_search(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+def r02_document_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for the text of every twentieth one; r02_search has the reading samples as queries."""
+    docs = _docs(spark, folder)
+    queries = docs.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "text")
+    found = retrieval.search(retrieval.build_index(docs), queries, 10)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 def r03_similar(spark: SparkSession, folder: str) -> DataFrame:
     found = retrieval.similar(retrieval.build_index(_note_texts(spark, folder)))
     return found.select("src", "id", F.round("score", 6).alias("score"), "rank")
@@ -305,6 +313,9 @@ select coalesce(o.key, w.key) as key, case when o.h is null then 'added' when w.
     "r01_postings": f"with {q.bm25(_DOCS)} select term, df, round(idf, 6) as idf from t",
     "r02_search": f"""with {q.bm25(_DOCS)}, a as (select sample_id as query_id, term, count(*) as times from (select sample_id, unnest({q.tokens('text')}) as term from reading_samples) group by all),
 x as (select query_id, p.id, sum(times * {q.WEIGHT}) as score from a join t using (term) join p using (term) group by all)
+select query_id, id, round(score, 6) as score, r::int as rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as r from x where score > 0) where r <= 10""",
+    "r02_document_search": f"""with {q.bm25(_DOCS)}, a as (select doc_id as query_id, term, count(*) as times from (select doc_id, unnest({q.tokens('text')}) as term from documents where doc_id % 20 = 0) group by all),
+x as (select query_id, p.id, sum(times * {q.WEIGHT}) as score from a join t using (term) join p using (term) group by all)
 select query_id, id, round(score, 6) as score, r::int as rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as r from x where score > 0) where r <= 10""",
     "r03_similar": f"""with {NOTES}, {q.bm25(_ND)}, {_SIM}
 select src, id, round(score, 6) as score, r::int as rank from (select *, row_number() over (partition by src order by round(score, 9) desc, id) as r from sim where score >= 1.0) where r <= 3""",

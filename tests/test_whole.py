@@ -29,3 +29,13 @@ def test_seeds_count_the_text_search(spark):
     # only the search finds c and d here: "snake_case" is one word to it and two to the keywords, and the topic has a tag hit
     assert {k for k in got if k[0] == "snake"} == {("snake", "b"), ("snake", "c"), ("snake", "d")}
     assert got["snake", "b"] == 1.0 + 0.3 + 0.5 and 0 < got["snake", "c"] < got["snake", "d"] < 0.5
+
+
+def test_every_twentieth_document_is_a_query(spark):
+    from notegraph.plans.retrieval import r02_document_search
+    from tests.conftest import DATA
+
+    ids = {r.doc_id for r in spark.read.parquet(f"{DATA}/documents.parquet").filter("doc_id % 20 = 0").collect()}
+    found = {r.query_id for r in r02_document_search(spark, DATA).select("query_id").distinct().collect()}
+    assert found and found <= ids
+    assert len(found) > 0.5 * len(ids)
