@@ -38,6 +38,12 @@ def view(spark: SparkSession, folder: str, *columns: str, where: str | None = No
     return note_view(notes if where is None else notes.filter(where), *columns)
 
 
+def search_text() -> Column:
+    """Title, body, and provider and id of each external reference, as one text."""
+    refs = F.transform("external_refs", lambda r: F.concat(F.lit(" "), F.coalesce(r["provider"], F.lit("")), F.lit(" "), F.coalesce(r["id"], F.lit(""))))
+    return F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("body", F.lit("")), F.coalesce(F.array_join(refs, ""), F.lit("")))
+
+
 def list_notes(notes: DataFrame, kind: str | None = None, status: str | None = None, tag: str | None = None, parent: str | None = None) -> DataFrame:
     """The notes that have all given values; a tag compares with case."""
     for name, value in (("type", kind), ("status", status), ("parent", parent)):

@@ -128,6 +128,15 @@ def r05_note_search(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+def r05_reference_search(spark: SparkSession, folder: str) -> DataFrame:
+    """r05_note_search over texts that also hold provider and id of the notes' external references."""
+    notes = view(spark, folder, "title", "body", "external_refs", where="status = 'active'")
+    docs = notes.select("id", ops.search_text().alias("text"))
+    terms = table(spark, folder, "concept_entries").select(folded(F.col("term")).alias("text")).filter("text <> ''").distinct()
+    found = retrieval.search(retrieval.build_index(docs), terms.select(F.col("text").alias("query_id"), "text"), 5)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 def r15_enrichment(spark: SparkSession, folder: str) -> DataFrame:
     """For notes with fewer than two tags and wiki links: up to three distinctive terms that would do as tags."""
     notes = view(spark, folder, "status", "title", "body", "tags")
@@ -240,6 +249,12 @@ m as (select node, min(level)::bigint as level from l group by node) select leve
 k as (select distinct lower(trim(term, {q.BLANK})) as text from concept_entries where trim(term, {q.BLANK}) <> ''),
 a as (select text as query_id, term, count(*) as times from (select text, unnest({q.tokens('text')}) as term from k) group by all),
 x as (select query_id, p.id, sum(times * {q.WEIGHT}) as score from a join t using (term) join p using (term) group by all)
+select query_id, id, round(score, 6) as score, r::int as rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as r from x where score > 0) where r <= 5""",
+    "r05_reference_search": f"""with {NOTES}, refs as (select distinct on (id) id, external_refs from notes where id is not null order by id),
+{q.bm25("select id, coalesce(title, '') || ' ' || body || coalesce(array_to_string(list_transform(external_refs, lambda r: ' ' || coalesce(r.provider, '') || ' ' || coalesce(r.id, '')), ''), '') as text from n join refs using (id) where status = 'active'")},
+k as (select distinct lower(trim(term, {q.BLANK})) as text from concept_entries where trim(term, {q.BLANK}) <> ''),
+a as (select text as query_id, term, count(*) as times from (select text, unnest({q.tokens('text')}) as term from k) group by all),
+x as (select query_id, p.id, sum(times * {q.WEIGHT}) as score from a join t using (term) join p using (term) group by all)
 select query_id, id, round(score, 6) as score, r::int as rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as r from x where score > 0) where r <= 5""",
     "r15_enrichment": f"""with {NOTES}, {q.bm25("select id, coalesce(title, '') || ' ' || body as text from n")}, {_TOP},
 poor as (select id, tags from n where status in ('active', 'in_progress') and len(tags) + len({_WIKI}) < 2),

@@ -31,6 +31,15 @@ def test_seeds_count_the_text_search(spark):
     assert got["snake", "b"] == 1.0 + 0.3 + 0.5 and 0 < got["snake", "c"] < got["snake", "d"] < 0.5
 
 
+def test_search_finds_provider_and_id_of_references(spark):
+    kind = "id string, title string, body string, external_refs array<struct<provider: string, id: string, url: string>>"
+    rows = [("a", "t", "x", [("jira", "OPS7", None), (None, "k2", "u")]), ("b", None, "x", None), ("c", "t", "x", [])]
+    docs = spark.createDataFrame(rows, kind).select("id", notes.search_text().alias("text"))
+    assert {r.id: r.text for r in docs.collect()} == {"a": "t x jira OPS7  k2", "b": " x", "c": "t x"}
+    found = retrieval.search(retrieval.build_index(docs), spark.createDataFrame([("q", "ops7")], "query_id string, text string"))
+    assert [r.id for r in found.collect()] == ["a"]
+
+
 def test_every_twentieth_document_is_a_query(spark):
     from notegraph.plans.retrieval import r02_document_search
     from tests.conftest import DATA
