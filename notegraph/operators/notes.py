@@ -72,6 +72,14 @@ def tag_counts(notes: DataFrame) -> DataFrame:
     return notes.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
+def inferred_tags(notes: DataFrame, most: int = 5) -> DataFrame:
+    """id, tags: the first ``most`` keywords of the title that are tags of any note; notes without any have no row."""
+    known = tag_counts(notes).select(F.col("tag").alias("word"))
+    words = notes.select("id", F.posexplode(tx.keywords(F.col("title"))).alias("pos", "word")).join(known, "word", "left_semi")
+    found = words.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("found"))
+    return found.select("id", F.slice("found.word", 1, most).alias("tags"))
+
+
 def tag_audit(notes: DataFrame, overload: int = 15) -> DataFrame:
     """tag, n, specificity, status: orphaned if all carriers are done with, else overloaded, unique or ok."""
     rows = notes.select("id", "status", F.explode("tags").alias("tag"))

@@ -199,6 +199,11 @@ def x29_inferred_tags(spark: SparkSession, folder: str) -> DataFrame:
     return words.groupBy("id").agg(F.least(F.count("*"), F.lit(5)).alias("n"))
 
 
+def x29_tag_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """The first five existing tags among the keywords of each title, in their order; x29_inferred_tags counts them."""
+    return ops.inferred_tags(view(spark, folder, "title", "tags"))
+
+
 def x38_references(spark: SparkSession, folder: str) -> DataFrame:
     """External references by provider and project of the address."""
     refs = table(spark, folder, "notes").select("id", F.inline("external_refs").alias("provider", "ref", "url")).distinct()

@@ -48,3 +48,9 @@ def test_every_twentieth_document_is_a_query(spark):
     found = {r.query_id for r in r02_document_search(spark, DATA).select("query_id").distinct().collect()}
     assert found and found <= ids
     assert len(found) > 0.5 * len(ids)
+
+
+def test_inferred_tags_are_the_first_five_in_order(spark):
+    rows = [("a", "zeta alpha other mu beta zeta nu kappa", ["alpha", "beta", "kappa"]), ("b", "plain", ["mu", "nu", "zeta"]), ("c", None, None)]
+    found = notes.inferred_tags(spark.createDataFrame(rows, "id string, title string, tags array<string>"))
+    assert {r.id: r.tags for r in found.collect()} == {"a": ["zeta", "alpha", "mu", "beta", "nu"]}
