@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 from notegraph.sources.tables import folded
 
 SEED = 20_240_315
-#: Targets of up to so many sources are broadcast; beyond, both sides are salted and shuffled.
+#: Targets of up to so many sources and bytes are broadcast; beyond, both sides are salted and shuffled.
 BROADCAST_SOURCES = 10_000
+BROADCAST_BYTES = 16 << 20
 SALTS = 64
 
 
@@ -51,7 +52,9 @@ def sized(documents: DataFrame, size: Column) -> DataFrame:
 
 
 def _attach(left: DataFrame, plan: DataFrame) -> DataFrame:
-    if plan.count() <= BROADCAST_SOURCES:
+    row = 64 + F.octet_length("source") + 8 * F.size("cdf")
+    n, held = plan.agg(F.count("*"), F.coalesce(F.sum(row), F.lit(0))).first()
+    if n <= BROADCAST_SOURCES and held <= BROADCAST_BYTES:
         return left.join(F.broadcast(plan), "source")
     salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     own = left.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
@@ -99,16 +102,32 @@ def mix(drawn: DataFrame, seed: int = SEED) -> DataFrame:
     return copies.withColumn("place", F.xxhash64("doc_id", "copy", F.lit(seed + 1))).orderBy("place", "doc_id", "copy")
 
 
+def _drawn_sizes(drawn: DataFrame) -> DataFrame:
+    return drawn.groupBy("source").agg(
+        F.sum(F.col("size") * F.col("n_copies")).alias("mix_size"), F.max("n_copies").alias("most_copies"), F.min("n_copies").alias("least_copies")
+    )
+
+
+def short_sources(drawn: DataFrame, plan: DataFrame) -> DataFrame:
+    """The listed sources that cannot reach their share, with target_share, target_size and mix_size, as the draw shows it.
+
+    The distribution fitted to such a source gives every document ``max_repeats`` copies, and the mix still holds less than the
+    source's target. A source that could reach its share but drew somewhat less has documents with fewer copies; should all of
+    them have the most by chance, it has reached its share. A source without documents draws nothing.
+    """
+    report = plan.join(_drawn_sizes(drawn), "source", "left").fillna(0, ["mix_size"])
+    aim = F.col("target_share") * F.col("total")
+    full = F.coalesce("least_copies", "max_repeats") >= F.col("max_repeats")
+    return report.filter(full & (F.col("mix_size") < aim)).select("source", "target_share", aim.alias("target_size"), "mix_size")
+
+
 def mix_report(drawn: DataFrame, plan: DataFrame) -> DataFrame:
     """Target and reached share, size in the mix and the most copies of a document, for every listed source.
 
     ``share_of_total`` is what the source has of the planned total, ``actual_share`` of what the mix really holds, which is
     less where sources are not reachable.
     """
-    got = drawn.groupBy("source").agg(
-        F.sum(F.col("size") * F.col("n_copies")).alias("mix_size"), F.max("n_copies").alias("most_copies")
-    )
-    report = plan.join(got, "source", "left").fillna(0, ["mix_size", "most_copies"])
+    report = plan.join(_drawn_sizes(drawn), "source", "left").fillna(0, ["mix_size", "most_copies"])
     whole = report.agg(F.sum("mix_size")).first()[0] or 0
     share = F.col("mix_size") / F.lit(float(whole)) if whole else F.lit(0.0)
     planned = F.when(F.col("total") > 0, F.col("mix_size") / F.col("total")).otherwise(0.0)

@@ -98,8 +98,9 @@ def _sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    plan = mixing.mix_plan(_sizes(spark, folder), table(spark, folder, "mix_targets"))
-    return plan.filter("not reachable").select("source")
+    sizes = _sizes(spark, folder)
+    plan = materialize(mixing.mix_plan(sizes, table(spark, folder, "mix_targets")), "mix-plan")
+    return mixing.short_sources(mixing.draw(sizes, plan), plan).select("source")
 
 
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:

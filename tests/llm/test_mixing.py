@@ -59,3 +59,25 @@ def test_empty(spark):
     sizes, t = tables(spark, [(1, "a", 5)], [])
     plan = mixing.mix_plan(sizes, t)
     assert plan.collect() == [] and mixing.mix(mixing.draw(sizes, plan)).collect() == []
+
+
+def test_short_sources_come_from_the_draw(spark):
+    docs = [(i, "big", 10) for i in range(500)] + [(1000 + i, "tiny", 10) for i in range(3)] + [(2000, "exact", 50), (3000, "zero", None)]
+    targets = [("big", 0.5, 2), ("tiny", 0.1, 2), ("exact", 100 / 5080, 2), ("zero", 0.1, 9), ("absent", 0.1, 2), ("none", 0.0, 2)]
+    sizes, t = tables(spark, docs, targets)
+    plan = mixing.mix_plan(sizes, t)
+    drawn = mixing.draw(sizes, plan)
+    got = {r.source: r.mix_size for r in mixing.short_sources(drawn, plan).collect()}
+    assert got == {"tiny": 60, "zero": 0, "absent": 0}
+    assert set(got) == {r.source for r in plan.filter("not reachable").collect()}
+    # a draw in which documents lack copies is no proof that a source is short
+    fewer = drawn.withColumn("n_copies", drawn["n_copies"] - (drawn["doc_id"] == 1000).cast("int"))
+    assert "tiny" not in {r.source for r in mixing.short_sources(fewer, plan).collect()}
+
+
+def test_wide_plans_are_not_broadcast(spark, monkeypatch):
+    sizes, t = tables(spark, [(i, "a", 1) for i in range(50)], [("a", 1.0, 5)])
+    plan = mixing.mix_plan(sizes, t)
+    small = sorted(map(tuple, mixing.draw(sizes, plan).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 64)
+    assert sorted(map(tuple, mixing.draw(sizes, plan).collect())) == small
