@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from notegraph.functions.text import body_hook
 
-#: Extensions of the files a corpus takes.
+# Extensions of the files a corpus takes, and of those that are cut by function.
 EXTENSIONS = (
-    ".md", ".txt", ".go", ".py", ".js", ".ts", ".rs", ".sh", ".rb", ".java", ".c", ".cpp", ".h", ".hpp", ".json", ".yaml", ".yml", ".toml", ".tsx", ".jsx",
+    ".md", ".txt", ".go", ".py", ".js", ".ts", ".rs", ".sh", ".rb", ".java", ".c", ".cpp", ".h", ".css", ".html", ".yaml", ".yml", ".json", ".toml", ".xml",
 )
+CODE_EXTENSIONS = (".go", ".py", ".js", ".ts", ".rs", ".sh", ".rb", ".java", ".c", ".cpp")
+# End of fixed values.
 
 
 def extension(path: Column) -> Column:
@@ -19,8 +21,7 @@ def extension(path: Column) -> Column:
 
 def chunk_strategy(path: Column) -> Column:
     """``function-level`` for source code, else ``heading-aware``."""
-    code = (".go", ".py", ".js", ".ts", ".rs", ".sh", ".rb", ".java", ".c", ".cpp")
-    return F.when(extension(path).isin(*code), "function-level").otherwise("heading-aware")
+    return F.when(extension(path).isin(*CODE_EXTENSIONS), "function-level").otherwise("heading-aware")
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:

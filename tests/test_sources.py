@@ -65,3 +65,11 @@ def test_replayed_batches_count_once(spark, tmp_path):
     rows.repartition(6).write.parquet(str(tmp_path / "access_log.parquet"))
     got = {r.mote_id: r.n for r in access.access_counts(access.stream_of(spark, str(tmp_path), "access_log", 2)).collect()}
     assert got == {"n0": 30, "n1": 30, "n2": 30}
+
+
+def test_extensions_of_a_corpus(spark, tmp_path):
+    names = ["a.css", "b.HTML", "c.xml", "d.py", "e.hpp", "f.tsx", "g.jsx", "h", "i.md"]
+    for name in names:
+        (tmp_path / name).write_text("x")
+    got = {r.path.rsplit("/", 1)[1] for r in corpus.read_corpus(spark, str(tmp_path)).collect()}
+    assert got == {"a.css", "b.HTML", "c.xml", "d.py", "i.md"}
