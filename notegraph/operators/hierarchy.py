@@ -21,18 +21,30 @@ def _priority(node: Column, r: int) -> Column:
     return F.xxhash64(node, F.lit(r))
 
 
-def _link(via: Column, node: Column) -> Column:
-    return F.when(via == "", node).otherwise(F.concat_ws("/", via, node))
+def _written(node: Column) -> Column:
+    """An id as it stands in a path: ``/`` and ``%`` in it are written ``%2F`` and ``%25``."""
+    return F.replace(F.replace(node, F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F"))
+
+
+def _unwritten(part: Column) -> Column:
+    return F.replace(F.replace(part, F.lit("%2F"), F.lit("/")), F.lit("%25"), F.lit("%"))
+
+
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """(id, num) of the distinct trimmed ids: contraction works on numbers, ids come back at the end."""
+    known = nodes.select(trimmed(F.col("id")).alias("id")).filter("id <> ''").distinct()
+    return materialize(known.select("id", F.monotonically_increasing_id().alias("num")), "nodes")
 
 
 def contract(links: DataFrame, with_paths: bool = False) -> tuple[list[str], DataFrame, list[str]]:
     """Contract (id, parent) links; the last node of a walk has no row. Returns the records of each round, their schema, the cores.
 
-    A record (id, parent, dist, via) says that ``id`` is ``dist`` steps below ``parent``, which outlives it, with the nodes
-    ``via`` (joined by ``/``) between them.
+    A record (id, parent, dist) says that ``id`` is ``dist`` steps below ``parent``, which outlives it. ``with_paths`` the links
+    have the node's name too, and a record also has ``via``, the names of the nodes between joined by ``/``.
     """
     spark = links.sparkSession
-    alive = links.select("id", "parent", F.lit(1).cast("bigint").alias("dist"), F.lit("").alias("via"))
+    own = ["name", "via"] if with_paths else []
+    alive = links.select("id", "parent", F.lit(1).cast("bigint").alias("dist"), *([F.col("name"), F.lit("").alias("via")] if with_paths else []))
     rounds: list[str] = []
     cores: list[str] = []
     shape = None
@@ -51,18 +63,16 @@ def contract(links: DataFrame, with_paths: bool = False) -> tuple[list[str], Dat
         )
         state = state.withColumn("act", act)
         lift = state.filter("act = 'splice'").select(
-            F.col("kid").alias("id"), F.col("parent").alias("up"), F.col("dist").alias("more"), F.col("via").alias("up_via"),
-            F.col("id").alias("spliced"),
+            F.col("kid").alias("id"), F.col("parent").alias("up"), F.col("dist").alias("more"),
+            *([F.concat_ws("/", F.nullif("via", F.lit("")), "name").alias("up_via")] if with_paths else []),
         )
         state = state.join(lift, "id", "left")
-        lifted = F.col("up").isNotNull()
-        via = F.when(lifted, F.concat_ws("/", F.nullif("up_via", F.lit("")), "spliced", F.nullif("via", F.lit("")))).otherwise(
-            F.col("via")
-        )
+        if with_paths:
+            longer = F.concat_ws("/", "up_via", F.nullif("via", F.lit("")))
+            state = state.withColumn("via", F.when(F.col("up").isNotNull(), longer).otherwise(F.col("via")))
         state = state.select(
-            "id", F.coalesce("up", "parent").alias("parent"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"),
-            (via if with_paths else F.lit("")).alias("via"), "act",
-        )
+            "id", F.coalesce("up", "parent").alias("parent"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), *own, "act"
+        )
         state = state.withColumn("act", F.when((F.col("act") == "keep") & (F.col("parent") == F.col("id")), "core").otherwise(F.col("act")))
         seen = Observation()
         counted = state.observe(
@@ -82,22 +92,27 @@ def contract(links: DataFrame, with_paths: bool = False) -> tuple[list[str], Dat
 def hierarchy(links: DataFrame, nodes: DataFrame, with_paths: bool = False) -> DataFrame:
     """Root, depth and path of every node of ``nodes`` (id) over ``links`` (id, parent).
 
-    Returns id, root_id, depth and, ``with_paths``, path: the ids from the root to the node joined by ``/``. A parent that
-    is no node ends the walk below it. A node whose walk never ends has root ``(cycle)``, depth -1 and a null path. Ids are
-    compared trimmed; null or empty ids and parents do not count; of several parents of an id the smallest counts, and
-    repeated rows are one. Other columns are ignored. No nodes give no rows.
+    Returns id, root_id, depth and, ``with_paths``, path: the ids from the root to the node joined by ``/`` (a ``/`` or ``%``
+    in an id is written ``%2F`` or ``%25``). A parent that is no node ends the walk below it. A node whose walk never ends has
+    root ``(cycle)``, depth -1 and a null path. Ids are compared trimmed; null or empty ids and parents do not count; of
+    several parents of an id the smallest counts, and repeated rows are one. Other columns are ignored. No nodes give no rows.
     """
     spark = nodes.sparkSession
-    known = nodes.select(trimmed(F.col("id")).alias("id")).filter("id <> ''").distinct()
+    known = _numbered(nodes)
     pairs = links.select(trimmed(F.col("id")).alias("id"), trimmed(F.col("parent")).alias("parent"))
     pairs = pairs.filter("id <> '' and parent <> ''").groupBy("id").agg(F.min("parent").alias("parent"))
-    pairs = pairs.join(known, "id", "left_semi")
-    inner = materialize(pairs.join(known.select(F.col("id").alias("parent")), "parent", "left_semi").select("id", "parent"), "links")
+    pairs = pairs.join(known, "id").select("parent", F.col("num").alias("child"), *([_written(F.col("id")).alias("name")] if with_paths else []))
+    above = known.select(F.col("id").alias("parent"), "num")
+    inner = pairs.join(above, "parent").select(F.col("child").alias("id"), F.col("num").alias("parent"), *(["name"] if with_paths else []))
+    inner = materialize(inner, "links")
     rounds, shape, cores = contract(inner, with_paths)
 
-    tops = known.join(inner.select("id"), "id", "left_anti").select(
-        "id", F.col("id").alias("root_id"), F.lit(0).cast("bigint").alias("depth"), F.col("id").alias("path")
-    )
+    # tops without children need no round
+    tops = inner.select(F.col("parent").alias("num")).distinct().join(inner.select(F.col("id").alias("num")), "num", "left_anti").join(known, "num")
+    tops = tops.select(
+        F.col("num").alias("id"), F.col("id").alias("root_id"), F.lit(0).cast("bigint").alias("depth"),
+        (_written(F.col("id")) if with_paths else F.lit(None).cast("string")).alias("path"),
+    )
     done = [write(tops, "tops")]
     if cores:
         looped = read(spark, cores, shape).filter("act = 'core'").select(
@@ -107,20 +122,23 @@ def hierarchy(links: DataFrame, nodes: DataFrame, with_paths: bool = False) -> D
     for path in reversed(rounds):
         record = read(spark, path, shape).filter("act in ('rake', 'splice')")
         above = read(spark, done, tops).withColumnRenamed("id", "parent")
-        if not with_paths:
-            above = above.drop("path").withColumn("path", F.lit(None).cast("string"))
+        whole = F.concat_ws("/", "path", F.nullif("via", F.lit("")), "name") if with_paths else F.col("path")
         step = record.join(above, "parent").select(
             "id", "root_id", F.when(F.col("depth") < 0, -1).otherwise(F.col("depth") + F.col("dist")).alias("depth"),
-            F.when(F.col("path").isNotNull(), F.concat_ws("/", "path", _link(F.col("via"), F.col("id")))).alias("path"),
+            F.when(F.col("path").isNotNull(), whole).alias("path"),
         )
         done.append(write(step, "expand"))
-    solved = read(spark, done, tops)
-    return solved if with_paths else solved.drop("path")
+    solved = known.join(read(spark, done, tops).withColumnRenamed("id", "num"), "num", "left")
+    alone = F.col("root_id").isNull()
+    path = F.when(alone, _written(F.col("id"))).otherwise(F.col("path"))
+    return solved.select(
+        "id", F.coalesce("root_id", "id").alias("root_id"), F.coalesce("depth", F.lit(0)).alias("depth"), *([path.alias("path")] if with_paths else [])
+    )
 
 
 def descendants(paths: DataFrame) -> DataFrame:
     """(ancestor, descendant, distance) of every node below every node, from the paths of ``hierarchy``; cycles give none."""
-    parts = paths.filter("path is not null").select("id", F.split("path", "/").alias("parts"))
+    parts = paths.filter("path is not null").select("id", F.transform(F.split("path", "/"), _unwritten).alias("parts"))
     above = parts.select("id", F.size("parts").alias("n"), F.posexplode(F.slice("parts", 1, F.size("parts") - 1)).alias("at", "ancestor"))
     return above.select("ancestor", F.col("id").alias("descendant"), (F.col("n") - 1 - F.col("at")).cast("bigint").alias("distance"))
 
@@ -130,8 +148,8 @@ def _marked(edges: DataFrame, r: int) -> DataFrame:
     sides = edges.select(
         F.explode(
             F.array(
-                F.struct(F.col("source").alias("id"), F.col("target").alias("succ"), F.lit(None).cast("string").alias("pred")),
-                F.struct(F.col("target").alias("id"), F.lit(None).cast("string").alias("succ"), F.col("source").alias("pred")),
+                F.struct(F.col("source").alias("id"), F.col("target").alias("succ"), F.lit(None).cast("bigint").alias("pred")),
+                F.struct(F.col("target").alias("id"), F.lit(None).cast("bigint").alias("succ"), F.col("source").alias("pred")),
             )
         ).alias("side")
     ).select("side.*")
@@ -147,44 +165,56 @@ def _marked(edges: DataFrame, r: int) -> DataFrame:
     )
 
 
-def _reached(starts: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, color): nodes reachable from a start within the edges of its color, by frontier expansion."""
-    spark = edges.sparkSession
-    done = [write(starts, "reach")]
-    frontier = read(spark, done[0], starts)
-    while not frontier.isEmpty():
-        ahead = frontier.join(edges, (F.col("node") == F.col("source")) & (frontier["color"] == edges["edge_color"]))
-        ahead = ahead.select(F.col("target").alias("node"), frontier["color"]).distinct()
-        ahead = ahead.join(read(spark, done, starts), ["node", "color"], "left_anti")
-        done.append(write(ahead, "reach"))
-        frontier = read(spark, done[-1], starts)
-    return read(spark, done, starts)
+def _colored(edges: DataFrame) -> DataFrame:
+    """(id, color) of the ends of the edges: the largest number from which the node can be reached, itself included.
+
+    Each round takes the colors of the nodes before and that of the node the own color names, which doubles how far colors
+    have come along a chain.
+    """
+    nodes = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    color = materialize(nodes.select("id", F.col("id").alias("color")), "color")
+    while True:
+        sent = edges.join(color, edges["source"] == color["id"]).select(F.col("target").alias("id"), "color", F.lit(None).cast("bigint").alias("old"))
+        named = color.select(F.col("id").alias("at"), F.col("color").alias("further"))
+        own = color.join(named, F.col("color") == F.col("at")).select("id", F.col("further").alias("color"), F.col("color").alias("old"))
+        best = own.unionByName(sent).groupBy("id").agg(F.max("color").alias("color"), F.max("old").alias("old"))
+        moved = Observation()
+        best = best.observe(moved, F.count(F.when(F.col("color") != F.col("old"), 1)).alias("n"))
+        color = materialize(best.select("id", "color"), "color")
+        if not moved.get["n"]:
+            return color
 
 
 def _components(edges: DataFrame) -> DataFrame:
-    """(id, scc) of the nodes of a core: forward coloring with the largest id, then backward reach within each color."""
+    """(id, scc) of the nodes of a core (source, target).
+
+    Colors split the nodes by the largest number before them; within a color, what reaches that number is one component, and
+    the rest goes on. Each round numbers the nodes in another random order, so that chains of nodes and of components with
+    rising numbers, over which colors come step by step, are short.
+    """
     out: DataFrame | None = None
+    k = 0
     while not edges.isEmpty():
-        nodes = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
-        color = materialize(nodes.select("id", F.col("id").alias("color")), "color")
-        while True:
-            sent = edges.join(color, edges["source"] == color["id"]).select(F.col("target").alias("id"), "color")
-            best = color.unionByName(sent).groupBy("id").agg(F.max("color").alias("new"))
-            moved = Observation()
-            step = color.join(best, "id").select("id", F.col("new").alias("color"), (F.col("new") != F.col("color")).alias("moved"))
-            step = materialize(step.observe(moved, F.count(F.when(F.col("moved"), 1)).alias("n")), "color")
-            color = step.drop("moved")
-            if not moved.get["n"]:
-                break
-        inside = edges.join(color.select(F.col("id").alias("source"), F.col("color").alias("edge_color")), "source")
-        inside = inside.join(color.select(F.col("id").alias("target"), F.col("color").alias("t_color")), "target")
-        backward = materialize(inside.filter("edge_color = t_color").select(F.col("target").alias("source"), F.col("source").alias("target"), "edge_color"), "back")
-        heads = color.filter("id = color").select(F.col("id").alias("node"), "color")
-        found = _reached(heads, backward).select(F.col("node").alias("id"), F.col("color").alias("scc"))
+        k += 1
+        nodes = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct().withColumn("h", F.xxhash64("id", F.lit(k)))
+        order = nodes.repartitionByRange("h").sortWithinPartitions("h").select("id", F.monotonically_increasing_id().alias("num"))
+        order = materialize(order, "order")
+        turned = edges.join(order.select(F.col("id").alias("source"), F.col("num").alias("s")), "source")
+        turned = turned.join(order.select(F.col("id").alias("target"), F.col("num").alias("t")), "target")
+        turned = materialize(turned.select("source", "target", "s", "t"), "turned")
+        ahead = _colored(turned.select(F.col("s").alias("source"), F.col("t").alias("target")))
+        inside = turned.join(ahead.select(F.col("id").alias("s"), F.col("color").alias("s_color")), "s")
+        inside = inside.join(ahead.select(F.col("id").alias("t"), F.col("color").alias("t_color")), "t")
+        inside = materialize(inside.filter("s_color = t_color").select("source", "target", "s", "t"), "inside")
+        back = _colored(inside.select(F.col("t").alias("source"), F.col("s").alias("target")))
+        both = ahead.join(back.select("id", F.col("color").alias("back")), "id", "left")
+        found = both.filter(F.coalesce("back", "id") == F.col("color")).select(F.col("id").alias("num"), "color")
+        found = found.join(order, "num").select("id", "color").join(order.select(F.col("num").alias("color"), F.col("id").alias("scc")), "color")
+        found = materialize(found.select("id", "scc"), "found")
         out = found if out is None else out.unionByName(found)
-        ids = found.select("id")
-        rest = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_anti")
-        edges = materialize(rest.join(ids.withColumnRenamed("id", "target"), "target", "left_anti").select("source", "target"), "core")
+        # a component never lies in two colors, so only edges inside one go on
+        rest = inside.select("source", "target").join(found.select(F.col("id").alias("source")), "source", "left_anti")
+        edges = materialize(rest.join(found.select(F.col("id").alias("target")), "target", "left_anti").select("source", "target"), "core")
     return out
 
 
@@ -196,13 +226,12 @@ def cycle_members(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     the two ends it was spliced between are in one component. Repeated edges, nulls, blanks around ids and further columns
     do no harm; no edges give no rows.
     """
-    spark = edges.sparkSession
-    known = nodes.select(trimmed(F.col("id")).alias("id")).filter("id <> ''").distinct()
-    arcs = edges.select(trimmed(F.col("source")).alias("source"), trimmed(F.col("target")).alias("target"))
-    arcs = arcs.filter("source <> '' and target <> ''").distinct()
-    arcs = arcs.join(known.withColumnRenamed("id", "source"), "source", "left_semi")
-    arcs = arcs.join(known.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target")
-    alive = materialize(arcs.select("source", "target", F.lit(None).cast("string").alias("spliced")), "arcs")
+    known = _numbered(nodes)
+    arcs = edges.select(trimmed(F.col("source")).alias("a"), trimmed(F.col("target")).alias("b"))
+    arcs = arcs.filter("a <> '' and b <> ''").distinct()
+    arcs = arcs.join(known.select(F.col("id").alias("a"), F.col("num").alias("source")), "a")
+    arcs = arcs.join(known.select(F.col("id").alias("b"), F.col("num").alias("target")), "b")
+    alive = materialize(arcs.select("source", "target", F.lit(None).cast("bigint").alias("spliced")), "arcs")
     steps = [alive]
     r = 0
     while True:
@@ -252,4 +281,4 @@ def cycle_members(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         if met.get["n"]:
             found = found.unionByName(hit.select("id"))
             scc = hit if scc is None else scc.unionByName(hit)
-    return found.distinct()
+    return found.distinct().withColumnRenamed("id", "num").join(known, "num").select("id")

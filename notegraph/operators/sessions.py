@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from notegraph.scratch import materialize
 
 FAN_IN = 32
+#: A chunk is a range of the timeline of at most about so many rows; where the session's partitions are more, there are as many.
+CHUNK_ROWS = 4_000_000
 #: An entity's events are built into trees so many at a time.
 PIECE = 1 << 16
 _NO_GAP = np.iinfo(np.int64).max
@@ -76,56 +78,80 @@ def _wanted(table: np.ndarray, wanted: np.ndarray | None) -> np.ndarray:
 class _Out:
     """Output rows of many entities, gathered into batches of some size."""
 
-    def __init__(self, names: pa.Array, wanted: np.ndarray | None):
-        self.names, self.wanted = names, wanted
+    def __init__(self, wanted: np.ndarray | None):
+        self.wanted = wanted
         self.nodes: list[tuple] = []
-        self.owners: list[tuple[int, int]] = []
+        self.owners: list[tuple[str, int]] = []
 
-    def close(self, entity: int, before: int) -> None:
+    def close(self, entity: str, before: int) -> None:
         self.owners.append((entity, len(self.nodes) - before))
 
     def batch(self, chunk: int | None = None) -> pa.RecordBatch:
         table = np.array(self.nodes, dtype=np.int64).reshape(-1, 5)
-        owner = np.repeat([x[0] for x in self.owners], [x[1] for x in self.owners]).astype(np.int64)
+        owner = np.repeat(np.arange(len(self.owners)), [n for _, n in self.owners])
+        names = pa.array([name for name, _ in self.owners], pa.string())
         if chunk is None:
             kept = _wanted(table, self.wanted)
             table, owner = table[kept], owner[kept]
         self.nodes, self.owners = [], []
         parent = pa.array(table[:, 4], pa.int64(), mask=table[:, 4] == _NO_GAP)
         at = pa.array([chunk] * len(table), pa.int64())
-        columns = [self.names.take(pa.array(owner)), *(pa.array(table[:, k]) for k in range(4)), parent, at]
+        columns = [names.take(pa.array(owner, pa.int64())), *(pa.array(table[:, k]) for k in range(4)), parent, at]
         return pa.RecordBatch.from_arrays(columns, ["entity", "start_us", "end_us", "n_events", "gap_us", "parent_gap_us", "chunk"])
 
 
+class _Run:
+    """The atoms of the entity that a chunk is at. When they are many, what no later event can change is closed."""
+
+    def __init__(self, entity: str, first: bool):
+        self.entity, self.first = entity, first
+        self.atoms: list[tuple] = []
+        self.limit = PIECE
+
+    def add(self, times: np.ndarray, counts: np.ndarray, out: _Out) -> None:
+        for at in range(0, len(times), PIECE):
+            self.atoms += [(t, t, n, 0) for t, n in zip(times[at : at + PIECE].tolist(), counts[at : at + PIECE].tolist())]
+            if len(self.atoms) > self.limit:
+                before = len(out.nodes)
+                self.atoms = _skeleton(self.atoms, True, True, out.nodes)
+                out.close(self.entity, before)
+                self.limit = max(PIECE, 2 * len(self.atoms))
+
+    def end(self, last: bool, out: _Out, spine: _Out) -> None:
+        before = len(out.nodes)
+        if self.first or last:
+            open_ = _skeleton(self.atoms, self.first, last, out.nodes)
+            spine.nodes += [(*x, _NO_GAP) for x in open_]
+            spine.close(self.entity, len(spine.nodes) - len(open_))
+        else:
+            out.nodes.append((*_tree(self.atoms, out.nodes), _NO_GAP))
+        out.close(self.entity, before)
+
+
 def _chunk_trees(wanted: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        whole = pa.Table.from_batches(held)
-        chunk = TaskContext.get().partitionId()
-        coded = whole.column("entity").combine_chunks().dictionary_encode()
-        names, code = coded.dictionary, coded.indices.to_numpy()
-        time, count = whole.column("t").to_numpy(), whole.column("n").to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
-        out, spine = _Out(names, wanted), _Out(names, wanted)
-        for a, b in zip(cuts, cuts[1:]):
-            before, atoms = len(out.nodes), []
-            for at in range(a, b, PIECE):
-                times = time[at : min(b, at + PIECE)].tolist()
-                part = [(t, t, n, 0) for t, n in zip(times, count[at : min(b, at + PIECE)].tolist())]
-                # a long run is taken in pieces, as the merge takes chunks
-                atoms += part if b - a <= PIECE else _skeleton(part, True, True, out.nodes)
-            if a == 0 or b == len(code):
-                spine.nodes += [(*x, _NO_GAP) for x in _skeleton(atoms, a == 0, b == len(code), out.nodes)]
-                spine.close(code[a], sum(n for _, n in spine.owners))
-            else:
-                out.nodes.append((*_tree(atoms, out.nodes), _NO_GAP))
-            out.close(code[a], before)
-            if len(out.nodes) >= PIECE:
-                yield out.batch()
-        yield out.batch()
-        yield spine.batch(chunk)
+        out, spine = _Out(wanted), _Out(wanted)
+        at: _Run | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch.column("entity").dictionary_encode()
+            names, code = coded.dictionary, coded.indices.to_numpy()
+            time, count = batch.column("t").to_numpy(), batch.column("n").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+            for a, b in zip(cuts, cuts[1:]):
+                entity = names[int(code[a])].as_py()
+                if at is None or at.entity != entity:
+                    if at is not None:
+                        at.end(False, out, spine)
+                    at = _Run(entity, at is None)
+                at.add(time[a:b], count[a:b], out)
+                if len(out.nodes) >= PIECE:
+                    yield out.batch()
+        if at is not None:
+            at.end(True, out, spine)
+            yield out.batch()
+            yield spine.batch(TaskContext.get().partitionId())
 
     return run
 
@@ -134,14 +160,14 @@ def _merge(wanted: np.ndarray | None, span: int, final: bool):
     def run(part: pa.Table) -> pa.Table:
         part = part.sort_by("start_us")
         atoms = list(zip(*(part.column(c).to_pylist() for c in ("start_us", "end_us", "n_events", "gap_us"))))
-        names = part.column("entity").combine_chunks().unique()
-        out, spine = _Out(names, wanted), _Out(names, wanted)
+        entity = part.column("entity")[0].as_py()
+        out, spine = _Out(wanted), _Out(wanted)
         if final:
             out.nodes.append((*_tree(atoms, out.nodes), _NO_GAP))
         else:
             spine.nodes += [(*x, _NO_GAP) for x in _skeleton(atoms, True, True, out.nodes)]
-        out.close(0, 0)
-        spine.close(0, 0)
+        out.close(entity, 0)
+        spine.close(entity, 0)
         return pa.Table.from_batches([out.batch(), spine.batch(part.column("chunk")[0].as_py() // span)])
 
     return run
@@ -159,7 +185,10 @@ def gap_tree(events: DataFrame, entity: Column, time_us: Column, item: Column, g
     rows = events.select(entity.cast("string").alias("entity"), time_us.cast("bigint").alias("t"), item.cast("string").alias("item"))
     rows = rows.dropna()
     # the groupings follow the range partitioning, so this is the only shuffle of the events
-    leaves = rows.repartitionByRange("entity", "t").dropDuplicates(["entity", "t", "item"]).groupBy("entity", "t")
+    n_chunks = -(-events.count() // CHUNK_ROWS)
+    more = n_chunks > int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = rows.repartitionByRange(n_chunks, "entity", "t") if more else rows.repartitionByRange("entity", "t")
+    leaves = ranges.dropDuplicates(["entity", "t", "item"]).groupBy("entity", "t")
     leaves = leaves.agg(F.count("*").alias("n")).sortWithinPartitions("entity", "t")
     stage = materialize(leaves.mapInArrow(_chunk_trees(wanted), _SCHEMA), "gap-tree")
     closed, atoms = [stage.filter("chunk is null")], stage.filter("chunk is not null")

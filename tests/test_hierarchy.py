@@ -116,3 +116,28 @@ def test_components(spark, seed):
 
 def test_components_empty(spark):
     assert connected_components(spark.createDataFrame([("a", "a")], "a string, b string")).collect() == []
+
+
+def test_ids_with_slashes(spark):
+    parent = {"a/b": "top", "c": "a/b", "d%2F": "c", "e": "d%2F"}
+    got = run(spark, [*parent, "top", "x/y"], list(parent.items()))
+    assert got["e"] == ("top", 4, "top/a%2Fb/c/d%252F/e") and got["x/y"] == ("x/y", 0, "x%2Fy")
+    n = spark.createDataFrame([(x,) for x in [*parent, "top"]], "id string")
+    below = descendants(hierarchy(spark.createDataFrame(list(parent.items()), "id string, parent string"), n, True)).collect()
+    assert {(r.ancestor, r.descendant) for r in below if r.descendant == "e"} == {("top", "e"), ("a/b", "e"), ("c", "e"), ("d%2F", "e")}
+    assert {(r.ancestor, r.distance) for r in below if r.descendant == "d%2F"} == {("top", 3), ("a/b", 2), ("c", 1)}
+
+
+def test_a_wide_core_takes_few_rounds(spark, monkeypatch):
+    from notegraph.operators import hierarchy as module
+
+    n = 10_000
+    rounds = []
+    whole = module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, label: (rounds.append(label), whole(df, label))[1])
+    ring = spark.range(n).selectExpr("concat('v', id) as source", f"explode(array(concat('v', (id + 1) % {n}), concat('v', (id + 7) % {n}))) as target")
+    tail = spark.range(20).selectExpr("concat('v', id) as source", "concat('w', id) as target")  # leads out, never back
+    nodes = spark.range(n).selectExpr("concat('v', id) as id").unionByName(spark.range(20).selectExpr("concat('w', id) as id"))
+    found = cycle_members(ring.unionByName(tail), nodes)
+    assert found.count() == n and found.filter("id like 'w%'").count() == 0
+    assert len(rounds) < 120  # step by step it would be 1,429 for each direction

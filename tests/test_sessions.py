@@ -88,3 +88,13 @@ def test_pieces_of_a_long_run():
     skeleton = [x for a in range(0, len(atoms), 97) for x in sessions._skeleton(atoms[a : a + 97], True, True, cut)]
     cut.append((*sessions._tree(skeleton, cut), sessions._NO_GAP))
     assert sorted(cut) == sorted(whole)
+
+
+def test_chunks_follow_the_rows_and_long_runs_are_closed_in_pieces(spark, monkeypatch):
+    from notegraph.operators import sessions
+
+    monkeypatch.setattr(sessions, "CHUNK_ROWS", 60)
+    monkeypatch.setattr(sessions, "PIECE", 16)
+    rows = make(11, 700, hot=0.7, span=4000)
+    for gap, got in by_tree(spark, rows, [0, 3, 40], None).items():
+        assert got == by_loop(rows, gap)
