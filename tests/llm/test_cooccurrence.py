@@ -49,3 +49,12 @@ def test_one_pair_in_a_third_of_all(spark):
 
 def test_empty(spark):
     assert counted(spark, []) == {} and counted(spark, [("a", []), ("b", None), ("c", ["", None])]) == {} and counted(spark, [("a", ["x"])]) == {}
+
+
+def test_a_basket_with_most_of_all_items(spark, monkeypatch):
+    monkeypatch.setattr(cooccurrence, "BLOCK", 64)
+    wide = [f"w{i}" for i in range(900)]
+    rows = [("hot", wide[i : i + 300]) for i in range(0, 900, 150)] + [(f"k{i}", [f"w{i}", f"w{i + 1}", "w7"]) for i in range(0, 400, 2)]
+    assert counted(spark, rows, 2) == brute(rows, 2)
+    lists = cooccurrence.baskets(spark.createDataFrame(rows, "key string, tags array<string>"), F.col("key"), F.col("tags")).collect()
+    assert max(len(r["items"]) for r in lists) <= 64 and len({r.piece for r in lists}) == len(lists)
