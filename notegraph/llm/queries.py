@@ -38,13 +38,12 @@ def term_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = term_tokens(spark, folder)
-    return terms.marked_terms(terms.ngram_counts(rows), rows).filter("mark is not null").select("field", "term", "mark")
+    return p2_terms(spark, folder).filter("mark is not null").select("field", "term", "mark")
 
 
 def p2_terms(spark: SparkSession, folder: str) -> DataFrame:
-    rows = term_tokens(spark, folder)
-    return terms.marked_terms(terms.ngram_counts(rows), rows)
+    rows = materialize(term_tokens(spark, folder), "tokens")
+    return terms.marked_terms(terms.ngram_counts(rows, 1), rows)
 
 
 def p2_ngrams(spark: SparkSession, folder: str) -> DataFrame:
@@ -186,14 +185,12 @@ select words.id, min(words.id) over (partition by w) as class_id, coalesce(least
 from words left join first on first.node = words.id left join links on links.id = words.id where len(w) >= 3""",
     "p2_found": f"with {_TERMS} select field, term, mark from marked where mark is not null",
     "p2_terms": f"with {_TERMS} select * from marked",
-    "p2_ngrams": f"""with {_TOKENS},
-line as (select *, lead(pos, 1) over w as p2, lead(token, 1) over w as t2, lead(pos, 2) over w as p3, lead(token, 2) over w as t3
-  from clean window w as (partition by field, record order by pos, token)),
-grams as (
-  select field, record, 1 as n, token as gram from line
-  union all select field, record, 2, token || ' | ' || t2 from line where p2 = pos + 1
-  union all select field, record, 3, token || ' | ' || t2 || ' | ' || t3 from line where p2 = pos + 1 and p3 = pos + 2)
-select field, n::int as n, gram, count(*) as occurrences, count(distinct record) as n_records from grams group by field, n, gram""",
+    "p2_ngrams": f"""with recursive {_TOKENS}, line as (select field, record, pos, min(token) as token from clean where pos is not null group by all),
+grams(field, record, pos, n, gram) as (select field, record, pos, 1, token from line
+  union all select g.field, g.record, g.pos, g.n + 1, g.gram || ' | ' || l.token from grams g join line l on l.field = g.field and l.record = g.record and l.pos = g.pos + g.n),
+every as (select field, record, n, gram from grams
+  union all select c.field, c.record, 1, c.token from clean c where not exists (select 1 from line l where l.field = c.field and l.record = c.record and l.pos = c.pos and l.token = c.token))
+select field, n::int as n, gram, count(*) as occurrences, count(distinct record) as n_records from every group by field, n, gram""",
     "p5_found": f"with {_BASKETS} select tag_a, tag_b from scored where ab >= 4 and ab * n_baskets >= 3 * count_a * count_b",
     "p5_pairs": f"with {_BASKETS} select *, round(ab::double * n_baskets / (count_a::double * count_b), 6) as lift from scored",
 }
