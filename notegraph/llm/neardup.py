@@ -33,6 +33,8 @@ BUCKET_WORDS = 2_500_000
 #: The sketch of shingle counts has a bucket of one byte for each word of the collection, but between 2^16 and 2^26.
 SKETCH_BITS = (16, 26)
 _PAIRS_AT_ONCE = 1 << 21
+#: A text with more possible partners than this has the cell in which it is compared split.
+_PARTNERS = 64
 #: Texts that are posted at once: their number takes the 13 bits above 8 bits of rarity and 43 bits of the shingle.
 _TEXTS_AT_ONCE = 1 << 13
 _TEXT, _RARITY = np.uint64(51), np.uint64(43)
@@ -142,13 +144,15 @@ class Join:
         ref = batch.column("ref").to_numpy()
         cool = blocks <= 1
         parts = [(owner[at][cool], tile[cool], rank[at][cool], role[cool])]
-        for x in np.flatnonzero(~cool):
-            row, g = owner[at[x]], int(blocks[x])
-            mine, others = int(ref[row]) % g, np.arange(g)
-            for kind, cells in ((_INDEX, mine * g + others), (_PROBE, others * g + mine)):
-                if role[x] & kind:
-                    cell = _mix((tile[x] << np.uint64(32)) + cells.astype(np.uint64)) & np.uint64(0xFFFFFFFF)
-                    parts.append((np.full(g, row), cell, np.full(g, rank[at[x]]), np.full(g, kind)))
+        for kind in (_INDEX, _PROBE):
+            hot = np.flatnonzero(~cool & ((role & kind) > 0))
+            g = blocks[hot]
+            x = np.repeat(hot, g)
+            g, others = np.repeat(g, g), np.arange(len(x)) - np.repeat(np.cumsum(g) - g, g)
+            mine = ref[owner[at[x]]] % g
+            cells = mine * g + others if kind == _INDEX else others * g + mine
+            cell = _mix((tile[x] << np.uint64(32)) + cells.astype(np.uint64)) & np.uint64(0xFFFFFFFF)
+            parts.append((owner[at[x]], cell, rank[at[x]], np.full(len(x), kind)))
         row, tile, rank, role = (np.concatenate(x) for x in zip(*parts))
         target = (_mix(tile + np.uint64(1)) % np.uint64(self.buckets)).astype(np.int64)
         order = np.lexsort((row, target))
@@ -208,25 +212,47 @@ class Join:
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["lo", "hi"])
 
     def verify(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The pairs that are alike enough, by intersecting the sorted shingles of both texts."""
+        """The pairs that are alike enough, by intersecting the sorted shingles; a cell's texts and pairs stand together."""
+        held: pa.Table | None = None
         for batch in batches:
-            n = batch.num_rows
-            bounds_a, key_a = sorted_sets(batch.column("text_lo"), self.words)
-            bounds_b, key_b = sorted_sets(batch.column("text_hi"), self.words)
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            cell = held.column("cell").to_numpy()
+            end = int(np.searchsorted(cell, cell[-1], side="left"))
+            if end:
+                yield from self._alike(held.slice(0, end))
+                held = held.slice(end).combine_chunks()
+        if held is not None:
+            yield from self._alike(held)
+
+    def _alike(self, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        is_text = pc.is_valid(rows.column("text"))
+        given = rows.filter(is_text)
+        refs, first = np.unique(given.column("lo").to_numpy(), return_index=True)
+        bounds, key = sorted_sets(given.column("text").take(pa.array(first)).combine_chunks(), self.words)
+        pairs = rows.filter(pc.invert(is_text))
+        lo, hi = pairs.column("lo").to_numpy(), pairs.column("hi").to_numpy()
+        x, y = np.searchsorted(refs, lo), np.searchsorted(refs, hi)
+        size = np.diff(bounds)
+        upto = np.concatenate([[0], np.cumsum(size[x] + size[y])])
+        a = 0
+        while a < len(lo):
+            b = max(a + 1, int(np.searchsorted(upto, upto[a] + _PAIRS_AT_ONCE, side="right")) - 1)
             # a shingle of both sides of a pair stands twice among the pair's sorted shingles
-            owner = np.concatenate([np.repeat(np.arange(n), np.diff(bounds_a)), np.repeat(np.arange(n), np.diff(bounds_b))])
-            key = np.concatenate([key_a, key_b])
-            order = np.lexsort((key, owner))
-            owner, key = owner[order], key[order]
-            both = (owner[1:] == owner[:-1]) & (key[1:] == key[:-1])
-            shared = np.bincount(owner[1:][both], minlength=n)
-            total = np.diff(bounds_a) + np.diff(bounds_b) - shared
-            similarity = shared / np.maximum(total, 1)
+            ends = np.concatenate([x[a:b], y[a:b]])
+            n = size[ends]
+            owner = np.repeat(np.tile(np.arange(b - a), 2), n)
+            both = key[np.repeat(bounds[:-1][ends] - (np.cumsum(n) - n), n) + np.arange(len(owner))]
+            order = np.lexsort((both, owner))
+            owner, both = owner[order], both[order]
+            twice = (owner[1:] == owner[:-1]) & (both[1:] == both[:-1])
+            shared = np.bincount(owner[1:][twice], minlength=b - a)
+            similarity = shared / np.maximum(size[x[a:b]] + size[y[a:b]] - shared, 1)
             kept = similarity >= self.threshold
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("lo").filter(pa.array(kept)), batch.column("hi").filter(pa.array(kept)), pa.array(similarity[kept])],
-                ["lo", "hi", "similarity"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(lo[a:b][kept]), pa.array(hi[a:b][kept]), pa.array(similarity[kept])], ["lo", "hi", "similarity"])
+            a = b
 
 
 class _Bitmaps:
@@ -281,6 +307,12 @@ class Similar:
         copies = a.join(b, F.col("lo") == F.col("hi")).filter("x < y").select("x", "y")
         return across.unionByName(copies).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
+    def class_links(self) -> DataFrame:
+        """class_a < class_b, similarity of every two classes of exact copies that are alike, each named by its smallest id."""
+        names = self.members.groupBy("ref").agg(F.min("id").alias("name"))
+        both = self.links.join(names.select(F.col("ref").alias("lo"), F.col("name").alias("a")), "lo").join(names.select(F.col("ref").alias("hi"), F.col("name").alias("b")), "hi")
+        return both.select(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b"), "similarity")
+
     def groups(self) -> DataFrame:
         """id, class_id (smallest id of its exact copies), group_id (smallest id it is connected with), n_links (records alike)."""
         classes = self.members.groupBy("ref").agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
@@ -300,8 +332,9 @@ def near_duplicates(records: DataFrame, key: Column, text: Column, words: int =
     """All pairs of records whose sets of ``words``-word shingles have a Jaccard similarity of at least ``threshold``.
 
     Words are the maximal runs of letters and digits of the lower-cased text. Records with a null key or fewer than ``words``
-    words (also null and empty texts) are in no pair and have no row; repeated rows of a key are one record. Long texts are
-    compared whole. No records give empty results. Other columns are ignored.
+    words (also null and empty texts) are in no pair and have no row; repeated rows of a key are one record, and of different
+    texts of one key one counts, that with the smallest hash. Long texts are compared whole. No records give empty results.
+    Other columns are ignored.
     """
     spark = records.sparkSession
 
@@ -321,6 +354,8 @@ def near_duplicates(records: DataFrame, key: Column, text: Column, words: int =
 
     n_words = base.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit(" "))) + 1)).first()[0] or 1
     bits = min(max(int(np.ceil(np.log2(n_words))), SKETCH_BITS[0]), SKETCH_BITS[1])
+    # where the sketch is much smaller than the collection, a bucket's count says little below a few times the mean
+    hot = max(hot, 4 * (n_words >> bits))
     counts = sketch.build(texts.select("text"), lambda batch: shingles(batch.column("text"), words)[1], bits)
     levels = spark.sparkContext.broadcast(counts)
     join = Join(words, threshold, max(spark.sparkContext.defaultParallelism, -(-n_words // BUCKET_WORDS)), bits, hot)
@@ -343,7 +378,21 @@ def near_duplicates(records: DataFrame, key: Column, text: Column, words: int =
             yield batch.filter(pa.array(wanted.value[sketch.bucket(refs, 22)] > 0))
 
     sides = texts.mapInArrow(involved, "ref bigint, text string")
-    both = maybe.join(sides.select(F.col("ref").alias("lo"), F.col("text").alias("text_lo")), "lo")
-    both = both.join(sides.select(F.col("ref").alias("hi"), F.col("text").alias("text_hi")), "hi")
-    links = both.select("lo", "hi", "text_lo", "text_hi").mapInArrow(join.verify, _PAIR_SCHEMA + ", similarity double")
-    return Similar(base.select("id", "ref").distinct(), links)
+    return Similar(base.groupBy("id").agg(F.min("ref").alias("ref")), _cells(maybe, sides).mapInArrow(join.verify, _PAIR_SCHEMA + ", similarity double"))
+
+
+def _cells(maybe: DataFrame, texts: DataFrame) -> DataFrame:
+    """cell, lo, hi, text in order of the cells: the texts (as lo) and the pairs of each cell, so that a text is sent once to a cell.
+
+    Texts of one family have the same smallest partner, which names their cell; a text with many partners has the cell split
+    both ways, so no cell is large.
+    """
+    ends = maybe.select(F.explode(F.array(F.struct(F.col("lo").alias("ref"), F.col("hi").alias("other")), F.struct(F.col("hi").alias("ref"), F.col("lo").alias("other")))).alias("e"))
+    lead = ends.groupBy("e.ref").agg(F.least(F.min("e.other"), F.first("e.ref")).alias("lead"), F.ceil(F.count("*") / _PARTNERS).alias("g"))
+    split = F.xxhash64("lead", "g", F.pmod(F.xxhash64("lo"), F.col("g")), F.pmod(F.xxhash64("hi"), F.col("g")))
+    pairs = maybe.join(lead.withColumnRenamed("ref", "lo"), "lo").select(split.alias("cell"), "lo", "hi")
+    pairs = materialize(pairs, "cells")
+    wanted = pairs.select("cell", F.explode(F.array("lo", "hi")).alias("ref")).distinct()
+    given = wanted.join(texts, "ref").select("cell", F.col("ref").alias("lo"), F.lit(None).cast("bigint").alias("hi"), "text")
+    rows = given.unionByName(pairs.withColumn("text", F.lit(None).cast("string")))
+    return rows.repartition("cell").sortWithinPartitions("cell")

@@ -26,6 +26,11 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.Similar(similar.members, materialize(similar.links, "links")).groups()
 
 
+def p1_links(spark: SparkSession, folder: str) -> DataFrame:
+    """The alike pairs of classes of exact copies, each class by its smallest id; p1_groups has the members."""
+    return _similar_notes(spark, folder).class_links().select("class_a", "class_b", F.round("similarity", 6).alias("similarity"))
+
+
 # -- p2: frequency of tags and terms ---------------------------------------------------------------------------------------
 
 
@@ -131,6 +136,7 @@ def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
+    "p1_links": p1_links,
     "p2_found": p2_found,
     "p2_terms": p2_terms,
     "p2_ngrams": p2_ngrams,
@@ -183,6 +189,9 @@ reach(node, other) as (select a, b from e union select reach.node, e.b from reac
 first as (select node, min(other) as o from reach group by node), links as (select a as id, count(*) as k from e group by a)
 select words.id, min(words.id) over (partition by w) as class_id, coalesce(least(words.id, o), words.id) as group_id, coalesce(k, 0)::bigint as n_links
 from words left join first on first.node = words.id left join links on links.id = words.id where len(w) >= 3""",
+    "p1_links": f"""with {_PAIRS}, classes as (select id, min(id) over (partition by w) as c from words where len(w) >= 3),
+every as (select id_a, id_b, round(s / (p.n + q.n - s), 6) as similarity from shared join sizes p on id_a = p.id join sizes q on id_b = q.id where 2 * s >= p.n + q.n - s)
+select distinct least(a.c, b.c) as class_a, greatest(a.c, b.c) as class_b, similarity from every join classes a on a.id = id_a join classes b on b.id = id_b where a.c <> b.c""",
     "p2_found": f"with {_TERMS} select field, term, mark from marked where mark is not null",
     "p2_terms": f"with {_TERMS} select * from marked",
     "p2_ngrams": f"""with recursive {_TOKENS}, line as (select field, record, pos, min(token) as token from clean where pos is not null group by all),

@@ -100,3 +100,18 @@ def test_sketch_is_an_upper_bound(spark):
     value, count = np.unique(keys, return_counts=True)
     assert (sketch.at_most(levels[sketch.bucket(value.view(np.uint64), 16)]) >= count).all()
     assert (levels > 0).sum() <= len(value)
+
+
+def test_two_texts_of_one_key(spark):
+    rows = [("x", "a b c d e"), ("x", "a b c d e f"), ("y", "a b c d e"), ("y", "a b c d e"), ("z", "a b c d e f")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    got = [tuple(r) for r in neardup.near_duplicates(df, F.col("id"), F.col("text")).pairs().collect()]
+    assert sorted(got) == [("x", "y"), ("x", "z"), ("y", "z")]
+
+
+def test_a_family_is_compared_in_few_cells(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(f"f{k:03}", " ".join(base[: k % 59] + [f"x{k}"] + base[k % 59 + 1 :])) for k in range(150)]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "id string, text string"), F.col("id"), F.col("text"))
+    assert found.pairs().count() == 150 * 149 // 2
+    assert found.class_links().filter("class_a < class_b").count() == 150 * 149 // 2
