@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notegraph import schema
@@ -172,9 +172,7 @@ def apply_links(notes: DataFrame, requests: DataFrame) -> DataFrame:
     valid = requests.filter(F.col("link_type").isin(*schema.LINK_TYPES) & (F.col("source") != F.col("target"))).distinct()
     known = notes.select("id")
     valid = valid.join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi")
-    inverse = F.when(F.col("link_type").isin(*schema.SYMMETRIC_LINKS), F.col("link_type"))
-    for kind, other in schema.INVERSE_LINKS.items():
-        inverse = inverse.when(F.col("link_type") == kind, other)
+    inverse = reverse_of(F.col("link_type"))
     both = valid.select(F.col("source").alias("id"), "link_type", "target").unionByName(
         valid.select(F.col("target").alias("id"), inverse.alias("link_type"), F.col("source").alias("target")).filter("link_type is not null")
     )
@@ -182,6 +180,69 @@ def apply_links(notes: DataFrame, requests: DataFrame) -> DataFrame:
     return both.distinct().join(present, ["id", "link_type", "target"], "left_anti")
 
 
+def reverse_of(kind: Column) -> Column:
+    """The type of the link that the other end gets: the same for symmetric types, the inverse, else null."""
+    other = F.when(kind.isin(*schema.SYMMETRIC_LINKS), kind)
+    for name, inverse in schema.INVERSE_LINKS.items():
+        other = other.when(kind == name, inverse)
+    return other
+
+
+def link_effects(notes: DataFrame, requests: DataFrame) -> DataFrame:
+    """effect, id, link_type, target of all that requests (source, target, link_type) bring about.
+
+    ``link``: a link that a note's list gains, ``edge``: an edge that the log gains (with the reverse of builds_on), ``status``:
+    a superseded note that becomes deprecated, by ``target``. Requests that do not count are those of ``apply_links``.
+    """
+    valid = requests.filter(F.col("link_type").isin(*schema.LINK_TYPES) & (F.col("source") != F.col("target"))).select("source", "link_type", "target").distinct()
+    known = notes.select("id").distinct()
+    valid = valid.join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi")
+    index_reverse = F.lit(None).cast("string")
+    for kind, other in schema.INDEX_REVERSE_LINKS.items():
+        index_reverse = F.when(F.col("link_type") == kind, other).otherwise(index_reverse)
+    sides = F.array(
+        F.struct(F.lit("edge").alias("effect"), F.col("source").alias("id"), F.col("link_type"), F.col("target")),
+        F.struct(F.lit("edge").alias("effect"), F.col("target").alias("id"), reverse_of(F.col("link_type")).alias("link_type"), F.col("source").alias("target")),
+        F.struct(F.lit("edge").alias("effect"), F.col("target").alias("id"), index_reverse.alias("link_type"), F.col("source").alias("target")),
+        F.struct(F.lit("status").alias("effect"), F.col("target").alias("id"), F.when(F.col("link_type") == "supersedes", F.lit("deprecated")).alias("link_type"), F.col("source").alias("target")),
+    )
+    effects = valid.select(F.inline(sides)).filter("link_type is not null").distinct()
+    return effects.unionByName(apply_links(notes, valid).select(F.lit("link").alias("effect"), "id", "link_type", "target"))
+
+
+def new_edges(log: DataFrame, asked: DataFrame) -> DataFrame:
+    """source, target, edge_type, deleted: lines to append to the log so that the asked edges are live; those that are add none."""
+    key = ["source", "target", "edge_type"]
+    return asked.select(*key).dropna().distinct().join(live_edges(log), key, "left_anti").withColumn("deleted", F.lit(False))
+
+
+def tombstones(log: DataFrame, gone: DataFrame) -> DataFrame:
+    """source, target, edge_type, deleted: lines to append so that the given edges are gone; those that are not live add none."""
+    key = ["source", "target", "edge_type"]
+    return live_edges(log).join(gone.select(*key).distinct(), key, "left_semi").withColumn("deleted", F.lit(True))
+
+
+def incident(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """The edges of which an end is among the ids (id)."""
+    gone = ids.select("id").distinct()
+    from_ = edges.join(gone.select(F.col("id").alias("source")), "source", "left_semi").select(*edges.columns)
+    to = edges.join(gone.select(F.col("id").alias("target")), "target", "left_semi").select(*edges.columns)
+    return from_.unionByName(to).distinct()
+
+
+def moved_links(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """source, edge_type, target that the edges of merged notes become, from members (id, merged).
+
+    Edges inside one cluster and supersedes edges do not move, and edges of which no end is merged are not listed.
+    """
+    links = edges.filter(F.col("edge_type").isin(*[t for t in schema.LINK_TYPES if t != "supersedes"]))
+    s = members.select(F.col("id").alias("source"), F.col("merged").alias("s"))
+    t = members.select(F.col("id").alias("target"), F.col("merged").alias("t"))
+    both = links.join(s, "source", "left").join(t, "target", "left").filter("(s is not null or t is not null) and not (s <=> t)")
+    moved = both.select(F.coalesce("s", "source").alias("source"), "edge_type", F.coalesce("t", "target").alias("target"))
+    return moved.filter("source <> target").distinct()
+
+
 def degree_summary(edges: DataFrame) -> DataFrame:
     """edge_type, n, sources, targets, most: size and spread of each kind of edge."""
     per_source = edges.groupBy("edge_type", "source").agg(F.count("*").alias("k"))

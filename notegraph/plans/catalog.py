@@ -11,6 +11,7 @@ from notegraph.functions import text as tx
 from notegraph.operators import graph, logs, notes as ops, retrieval
 from notegraph.operators.hierarchy import cycle_members, hierarchy
 from notegraph.operators.notes import view
+from notegraph.operators.order import beside, numbered
 from notegraph.plans import sqlparts as q
 from notegraph.plans.sqlparts import LINKS, NOTES
 from notegraph.scratch import materialize
@@ -174,8 +175,8 @@ def w02_last_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 def w06_edge_chain(spark: SparkSession, folder: str) -> DataFrame:
     """Each line of the edge log with the source's previous target."""
-    line = Window.partitionBy("source").orderBy("pos")
-    return table(spark, folder, "edges").select("pos", "source", F.lag("target").over(line).alias("previous"), (F.row_number().over(line)).alias("step"))
+    line = numbered(table(spark, folder, "edges").select("pos", "source", "target"), ["source"], [F.col("pos")], "step")
+    return beside(line, ["source"], -1, {"target": "previous"}, "step").select("pos", "source", "previous", F.col("step").cast("int").alias("step"))
 
 
 def x09_concept_sizes(spark: SparkSession, folder: str) -> DataFrame:
@@ -247,7 +248,7 @@ select id from n where type = 'task' and status = 'active' and id not in (select
     "g08_cycle_notes": f"""with recursive {NOTES}, e as (select distinct id as s, t from (select id, unnest(list_concat(list_concat(depends_on, builds_on), caused_by)) as t from n) where t in (select id from n)),
 reach(s, t) as (select s, t from e union select r.s, e.t from reach r join e on r.t = e.s) select s as id from reach where s = t""",
     "g10_widths": f"""with recursive {NOTES}, e as (select distinct id as s, unnest(depends_on) as t from n),
-l(node, level) as (select distinct s, 0::bigint from e where s not in (select t from e) union select e.t, l.level + 1 from l join e on e.s = l.node where l.level < 64),
+l(node, level) as (select distinct s, 0::bigint from e where s not in (select t from e) union select e.t, l.level + 1 from l join e on e.s = l.node where l.level < (select count(*) from e)),
 m as (select node, min(level)::bigint as level from l group by node) select level, count(*) as n from m group by level""",
     "l07_most_accessed": "select mote_id, count(*) as n from access_log where mote_id is not null and accessed_at is not null group by 1 order by n desc, mote_id limit 5",
     "r05_note_search": f"""with {NOTES}, {q.bm25("select id, coalesce(title, '') || ' ' || body as text from n where status = 'active'")},

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notegraph import schema
@@ -12,6 +12,7 @@ from notegraph.functions import scoring as sc
 from notegraph.functions import text as tx
 from notegraph.operators import graph, notes as ops
 from notegraph.operators.notes import view
+from notegraph.operators.order import beside, numbered
 from notegraph.plans import sqlparts as q
 from notegraph.plans.sqlparts import AS_OF, LINKS, NOTES
 from notegraph.sources.tables import table
@@ -176,8 +177,8 @@ def x15_score(spark: SparkSession, folder: str) -> DataFrame:
 def w05_next_in_line(spark: SparkSession, folder: str) -> DataFrame:
     """Each note's rank within its type by weight, and the note that would take its place."""
     notes = view(spark, folder, "type", "weight").filter("type is not null")
-    line = Window.partitionBy("type").orderBy(F.desc_nulls_last("weight"), "id")
-    return notes.select("id", "type", F.row_number().over(line).alias("rank"), F.lead("id").over(line).alias("next_id"))
+    line = numbered(notes, ["type"], [F.desc_nulls_last("weight"), F.col("id")], "rank")
+    return beside(line, ["type"], 1, {"id": "next_id"}, "rank").select("id", "type", F.col("rank").cast("int").alias("rank"), "next_id")
 
 
 def x35_checklists(spark: SparkSession, folder: str) -> DataFrame:
@@ -287,7 +288,7 @@ _MATCHED = f"""{_COUNTS}, own as (select id, unnest(tags) as tag from n),
 matched as (select id, avg(1.0::double / log2(counts.n + 2)) as matched from own join counts using (tag) group by id)"""
 
 
-def _secret_list(patterns: tuple) -> str:
+def secret_list(patterns: tuple) -> str:
     parts = ", ".join("case when regexp_matches(coalesce(text, ''), '" + p.replace("'", "''") + f"') then '{d}' end" for p, d in patterns)
     return f"array_to_string(list_filter([{parts}], lambda x: x is not null), '; ')"
 
@@ -303,7 +304,7 @@ union all select id, 'weight' from x where not (weight between 0.0 and 1.0) unio
     "f09_tag_problems": f"""select * from (select id, tag, case when tag = '' then 'empty' when strlen(tag) > 100 then 'too long'
   when not regexp_matches(tag, '{schema.NAME_PATTERN}') then 'invalid character' end as problem
   from (select distinct id, unnest(tags) as tag from notes) where tag is not null) where problem is not null""",
-    "f10_secret_scan": f"select doc_id, {_secret_list(schema.BLOCKING_PATTERNS)} as blocked, {_secret_list(schema.WARNING_PATTERNS)} as warnings from documents",
+    "f10_secret_scan": f"select doc_id, {secret_list(schema.BLOCKING_PATTERNS)} as blocked, {secret_list(schema.WARNING_PATTERNS)} as warnings from documents",
     "f12_visible_characters": rf"with {NOTES} select id, length(regexp_replace(body, '[ \t\n\r\x0B\f]', '', 'g'))::bigint as n_chars from n",
     "f17_long_bodies": f"with {NOTES} select id, len({q.fields('body')})::bigint as n_words from n where status = 'active' and len({q.fields('body')}) > 100",
     "f18_uncrystallized": f"with {NOTES} select id, status from n where status in ('completed', 'archived') and id not in (select source_issue from n where source_issue is not null)",
@@ -377,7 +378,7 @@ blocked(id) as (select dep.id from dep left join n t on t.id = dep.target where
   union select dep.id from dep join blocked on dep.target = blocked.id)
 select id from n where type = 'task' and status = 'active' and id not in (select id from blocked)""",
     "g07_levels": f"""with recursive {NOTES}, e as (select distinct id as s, unnest(depends_on) as t from n),
-l(node, level) as (select distinct s, 0::bigint from e where s not in (select t from e) union select e.t, l.level + 1 from l join e on e.s = l.node where l.level < 64)
+l(node, level) as (select distinct s, 0::bigint from e where s not in (select t from e) union select e.t, l.level + 1 from l join e on e.s = l.node where l.level < (select count(*) from e))
 select node, min(level)::bigint as level from l group by node""",
     "g12_link_effects": f"""with {NOTES}, {LINKS}, asked as (select id as source, parent as target, 'relates_to' as link_type from n union select id, source_issue, 'depends_on' from n),
 valid as (select * from asked where source <> target and target in (select id from n)),

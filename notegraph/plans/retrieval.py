@@ -10,6 +10,7 @@ from notegraph.functions import text as tx
 from notegraph.operators import chunks, graph, logs, retrieval, review
 from notegraph.operators.components import connected_components
 from notegraph.operators.notes import view
+from notegraph.operators.order import quantiles
 from notegraph.plans import sqlparts as q
 from notegraph.plans.sqlparts import AS_OF, NOTES
 from notegraph.scratch import materialize
@@ -209,10 +210,9 @@ def a27_calibration(spark: SparkSession, folder: str) -> DataFrame:
     """Median and upper quartile of the similarity scores, kept within half and twice the adaptive threshold."""
     index = retrieval.build_index(_note_texts(spark, folder))
     base = retrieval.thresholds(index.n_docs)[1]
-    both = F.percentile("score", F.array(F.lit(0.5), F.lit(0.75)))
-    found = retrieval.similar(index).agg(both.alias("p"), F.count("*").alias("n"))
-    keep = lambda c: F.round(F.greatest(F.lit(base / 2), F.least(F.lit(base * 2), c)), 6)
-    return found.select("n", keep(F.col("p")[0]).alias("p50"), keep(F.col("p")[1]).alias("p75"))
+    n, both = quantiles(retrieval.similar(index), "score", (0.5, 0.75))
+    kept = [None if x is None else F.round(F.greatest(F.lit(base / 2), F.least(F.lit(base * 2), F.lit(x))), 6) for x in both]
+    return spark.range(1).select(F.lit(n).cast("bigint").alias("n"), *[(F.lit(None).cast("double") if x is None else x).alias(c) for x, c in zip(kept, ("p50", "p75"))])
 
 
 def _proposals(spark: SparkSession, folder: str) -> DataFrame:
