@@ -100,3 +100,33 @@ def scope_of(note_id: Column) -> Column:
 def clean_list(items: Column) -> Column:
     """Trimmed entries without nulls and blanks, order and repeats kept; null gives none."""
     return F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), trimmed), lambda x: x != "")
+
+
+def path_keywords(paths: Column) -> Column:
+    """The distinct keywords of all paths of an array, first seen first."""
+    return F.array_distinct(F.flatten(F.transform(F.coalesce(paths, F.array().cast("array<string>")), keywords)))
+
+
+def file_keywords(paths: Column) -> Column:
+    """Lower-case parts of paths without extension and longer than two bytes, distinct and sorted."""
+    parts = F.flatten(F.transform(F.coalesce(paths, F.array().cast("array<string>")), lambda p: F.split(p, "/")))
+    names = F.transform(parts, lambda p: F.lower(F.regexp_replace(p, r"\.[^.]*$", "")))
+    return F.array_sort(F.array_distinct(F.filter(names, lambda n: F.octet_length(n) > 2)))
+
+
+def matched_tags(topic: Column, tags: Column) -> Column:
+    """For each keyword of the topic the first tag that equals it, whatever its case."""
+    hits = F.transform(keywords(topic), lambda k: F.get(F.filter(tags, lambda t: F.lower(t) == k), F.lit(0)))
+    return F.filter(hits, lambda x: x.isNotNull())
+
+
+def title_of(text: Column) -> Column:
+    """What stands before the first line end of the trimmed text, trimmed; the whole text if there is none."""
+    return trimmed(F.substring_index(trimmed(text), "\n", 1))
+
+
+def body_of(text: Column) -> Column:
+    """What stands after the first line end of the trimmed text, trimmed; empty if there is none."""
+    whole = trimmed(text)
+    at = F.instr(whole, "\n")
+    return F.when(at > 0, trimmed(F.substring(whole, at + 1, F.length(whole)))).otherwise(F.when(text.isNotNull(), F.lit("")))

@@ -78,3 +78,52 @@ def compare_configs(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("config").agg(
         F.count("*").alias("cycles"), F.avg(per_batch).alias("avg_per_batch"), F.avg("cost").alias("avg_cost"), F.coalesce(F.avg(per_proposal), F.lit(0.0)).alias("avg_cost_per_proposal")
     )
+
+
+def visit_pairs(accesses: DataFrame, notes: DataFrame, edges: DataFrame, at_least: int = 2, most: int = 3) -> DataFrame:
+    """visit, a, b, n_shared, rank: of each visit (visit, id) the first pairs a < b of notes that share tags and have no edge a -> b.
+
+    Pairs meet on tags within a visit, never on the visit alone.
+    """
+    tagged = accesses.select("visit", "id").distinct().join(notes.select("id", F.explode(F.array_distinct("tags")).alias("tag")), "id")
+    a, b = (tagged.select("visit", "tag", F.col("id").alias(x)) for x in "ab")
+    shared = a.join(b, ["visit", "tag"]).filter("a < b").groupBy("visit", "a", "b").agg(F.count("*").alias("n_shared")).filter(F.col("n_shared") >= at_least)
+    free = shared.join(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).distinct(), ["a", "b"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("visit").orderBy("a", "b"))
+    return free.withColumn("rank", rank).filter(F.col("rank") <= most).select("visit", "a", "b", "n_shared", "rank")
+
+
+def tag_suggestions(triggers: DataFrame, tasks: DataFrame, most: int = 3) -> DataFrame:
+    """id, task, rank: for each trigger (id, tags) the first tasks (id, tags) by id that share a tag, whatever its case.
+
+    Of a tag only its ``most`` + 1 smallest tasks can be among them, so a tag on very many notes brings no more rows.
+    """
+    def tags(rows: DataFrame) -> DataFrame:
+        return rows.select("id", F.explode(F.array_distinct(F.transform("tags", F.lower))).alias("tag"))
+
+    first = F.row_number().over(Window.partitionBy("tag").orderBy("id"))
+    best = tags(tasks).withColumn("place", first).filter(F.col("place") <= most + 1).select("tag", F.col("id").alias("task"))
+    met = tags(triggers).join(best, "tag").filter("id <> task").select("id", "task").distinct()
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("task"))
+    return met.withColumn("rank", rank).filter(F.col("rank") <= most)
+
+
+def last_flags(rows: DataFrame, by: str, order: str, flag: str) -> DataFrame:
+    """The key and the flag of its latest row; of rows of one time a true flag counts. Rows without key or time do not."""
+    last = F.max(F.struct(order, F.coalesce(flag, F.lit(False)).alias("flag")))
+    return rows.filter(F.col(by).isNotNull() & F.col(order).isNotNull()).groupBy(by).agg(last.alias("x")).select(by, F.col("x.flag").alias("flag"))
+
+
+def run_value(runs: DataFrame) -> DataFrame:
+    """One row over a run log (pos, proposals, applied, deferred, cost): sums, acceptance rate, cost of an applied proposal, and
+    whether less than a quarter of what the last five runs proposed was applied."""
+    recent = runs.orderBy(F.desc("pos")).limit(5).agg(F.sum("applied").alias("a"), F.sum("proposals").alias("p"))
+    whole = runs.agg(
+        F.count("*").alias("runs"), F.sum("proposals").alias("proposals"), F.sum("applied").alias("applied"), F.sum("deferred").alias("deferred"), F.sum("cost").alias("cost")
+    )
+    rate = F.when(F.col("proposals") > 0, F.col("applied") / F.col("proposals"))
+    each = F.when(F.col("applied") > 0, F.col("cost") / F.col("applied"))
+    return whole.crossJoin(recent).select(
+        "runs", "proposals", "applied", "deferred", "cost", rate.alias("acceptance"), each.alias("cost_per_applied"),
+        F.coalesce(F.when(F.col("p") > 0, F.col("a") / F.col("p") < 0.25), F.lit(False)).alias("low"),
+    )

@@ -154,3 +154,45 @@ def field_changes(old: DataFrame, new: DataFrame, columns: tuple[str, ...]) -> D
     pair = old.alias("o").join(new.alias("n"), "id")
     changes = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"o.{c}").cast("string").alias("old"), F.col(f"n.{c}").cast("string").alias("new")) for c in columns])
     return pair.select("id", F.inline(changes)).filter("not (old <=> new)")
+
+
+def net_flow(notes: DataFrame, as_of: str, windows: tuple[int, ...] = (7, 30, 90)) -> DataFrame:
+    """days, created, closed, net of each window before the clock; only a status change into done or deprecated closes a note.
+
+    ``notes`` has created_at, status and status_changed_at.
+    """
+    made, left = age_days(F.col("created_at"), as_of), age_days(F.col("status_changed_at"), as_of)
+    shut = F.when(F.col("status").isin("deprecated", "archived", "completed"), left)
+    spread = notes.select(made.alias("made"), shut.alias("shut"), F.explode(F.array(*map(F.lit, windows))).alias("days"))
+    counts = spread.groupBy("days").agg(
+        F.count(F.when(F.col("made") < F.col("days"), 1)).alias("created"), F.count(F.when(F.col("shut") < F.col("days"), 1)).alias("closed")
+    )
+    return counts.withColumn("net", F.col("created") - F.col("closed"))
+
+
+def bloated(notes: DataFrame, as_of: str, least: int = 20, created: int = 15, days: int = 30) -> DataFrame:
+    """One row: the size of the collection, what was created and closed lately, and whether it only grows."""
+    recent = net_flow(notes, as_of, (days,)).select("created", "closed")
+    n = notes.agg(F.count("*").alias("n"))
+    return n.crossJoin(recent).select("n", "created", "closed", ((F.col("n") >= least) & (F.col("created") >= created) & (F.col("closed") == 0)).alias("bloat"))
+
+
+def missing_hubs(notes: DataFrame, least: int = 3) -> DataFrame:
+    """tag, n, hub_id: tags on at least ``least`` notes in force that no constellation note carries, with the id of a hub to add."""
+    rows = notes.filter("status <> 'deprecated'").select("id", "type", F.explode(F.array_distinct("tags")).alias("tag"))
+    tags = rows.groupBy("tag").agg(F.count("*").alias("n"), F.bool_or(F.col("type") == "constellation").alias("held"))
+    return tags.filter((F.col("n") >= least) & ~F.coalesce("held", F.lit(False))).select("tag", "n", F.concat(F.lit("hub-"), "tag").alias("hub_id"))
+
+
+def hub_links(notes: DataFrame, hubs: DataFrame) -> DataFrame:
+    """source, target, edge_type: both sides of the links of each new hub (tag, hub_id) to the notes in force that carry its tag."""
+    rows = notes.filter("status <> 'deprecated'").select("id", F.explode(F.array_distinct("tags")).alias("tag")).join(hubs.select("tag", "hub_id"), "tag")
+    sides = F.array(F.struct(F.col("hub_id").alias("source"), F.col("id").alias("target")), F.struct(F.col("id").alias("source"), F.col("hub_id").alias("target")))
+    return rows.select(F.inline(sides)).withColumn("edge_type", F.lit("relates_to"))
+
+
+def majority(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """The key, its most frequent value (the smallest of equally frequent ones) and how often it has it; nulls do not count."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
+    line = Window.partitionBy(by).orderBy(F.desc("n"), value)
+    return counts.withColumn("_r", F.row_number().over(line)).filter("_r = 1").drop("_r")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notegraph.scratch import scratch_dir
@@ -69,3 +69,28 @@ def folded_edges(log: DataFrame) -> DataFrame:
 
     parts = drain(log.select(*key, "deleted"), "edges", share)
     return parts.groupBy(*key).agg(F.bool_or("gone").alias("gone")).filter("not gone").select(*key)
+
+
+def session_counts(log: DataFrame, entity: Column, time: str, gap_us: int, flag: str, delay: str | None = None) -> DataFrame:
+    """entity, start, last, n, n_flagged of each entity's sessions over a stream of events; gaps of exactly ``gap_us`` do not split.
+
+    Without ``delay`` every session is kept in the state and the whole result is given again after each batch, so no row is
+    ever too late. With a ``delay`` (a watermark such as ``7 days``) finished sessions leave the state, and rows that come
+    later than that are lost. Rows without entity or time do not count.
+    """
+    spark = log.sparkSession
+    base = f"{scratch_dir(spark)}/notegraph/sessions-{uuid.uuid4().hex}"
+    rows = log.select(entity.alias("entity"), F.col(time).cast("timestamp").alias("at"), F.coalesce(flag, F.lit(False)).alias("flag")).filter("entity <> '' and at is not null")
+    if delay is not None:
+        rows = rows.withWatermark("at", delay)
+    span = F.session_window("at", f"{gap_us} microseconds")
+    counts = rows.groupBy("entity", span.alias("w")).agg(F.max("at").alias("last"), F.count("*").alias("n"), F.count(F.when(F.col("flag"), 1)).alias("n_flagged"))
+
+    def keep(batch: DataFrame, number: int) -> None:
+        out = batch.select("entity", F.col("w.start").alias("start"), "last", "n", "n_flagged")
+        out.write.mode("overwrite").parquet(f"{base}/out" if delay is None else f"{base}/out/batch={number}")
+
+    mode = "complete" if delay is None else "append"
+    query = counts.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    query.awaitTermination()
+    return spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out").select("entity", "start", "last", "n", "n_flagged")
