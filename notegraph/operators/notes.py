@@ -196,3 +196,16 @@ def majority(rows: DataFrame, by: str, value: str) -> DataFrame:
     counts = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
     line = Window.partitionBy(by).orderBy(F.desc("n"), value)
     return counts.withColumn("_r", F.row_number().over(line)).filter("_r = 1").drop("_r")
+
+
+def opposed_classes(notes: DataFrame) -> DataFrame:
+    """tag, mask_a < mask_b, n_pairs: how many pairs of notes with the tag differ in the words against something that their bodies
+    hold. A mask has a bit for each such word, so a tag has few masks however many notes carry it."""
+    body = F.lower(F.coalesce("body", F.lit("")))
+    mask = F.lit(0)
+    for i, word in enumerate(schema.NEGATORS):
+        mask = mask + F.when(F.contains(body, F.lit(word)), 1 << i).otherwise(0)
+    rows = notes.select(mask.alias("mask"), F.explode(F.array_distinct("tags")).alias("tag")).groupBy("tag", "mask").agg(F.count("*").alias("k"))
+    a = rows.select("tag", F.col("mask").alias("mask_a"), F.col("k").alias("k_a"))
+    b = rows.select("tag", F.col("mask").alias("mask_b"), F.col("k").alias("k_b"))
+    return a.join(b, "tag").filter("mask_a < mask_b").select("tag", "mask_a", "mask_b", (F.col("k_a") * F.col("k_b")).alias("n_pairs"))

@@ -284,7 +284,7 @@ _BODY_LINKS = f"""found as (select id as source, unnest(list_distinct(list_filte
 body_links as (select source, target, case when target in (select id from n) then 'body_ref' else 'concept_ref' end as edge_type from found)"""
 _LIVE_EDGES = "le as (select source, target, edge_type from edges group by all having not bool_or(coalesce(deleted, false)))"
 _SCOPE = "case when instr({0}, '-') > 1 then split_part({0}, '-', 1) else '' end"
-_MATCHED = f"""{_COUNTS}, own as (select id, unnest(tags) as tag from n),
+MATCHED_SQL = f"""{_COUNTS}, own as (select id, unnest(tags) as tag from n),
 matched as (select id, avg(1.0::double / log2(counts.n + 2)) as matched from own join counts using (tag) group by id)"""
 
 
@@ -339,8 +339,8 @@ select * from (select tag, other, n, (row_number() over (partition by tag order
     "a36_scopes": f"with {NOTES}, {LINKS} select {_SCOPE.format('target')} as scope, count(*) as n_links, count(distinct id) as n_sources from links group by 1",
     "x07_wiki_links": f"with {NOTES}, {_BODY_LINKS} select * from body_links",
     "x13_recency": f"with {NOTES} select id, {q.days('last_accessed')} as days, {q.recency('last_accessed')} as factor from n",
-    "x14_tag_specificity": f"with {NOTES}, {_MATCHED} select id, round(matched, 6) as specificity from matched",
-    "x15_score": f"with {NOTES}, {_MATCHED} select n.id, round({q.relevance(chr(39) * 2, 'coalesce(matched, 0.0::double)', '0')}, 6) as score from n left join matched using (id)",
+    "x14_tag_specificity": f"with {NOTES}, {MATCHED_SQL} select id, round(matched, 6) as specificity from matched",
+    "x15_score": f"with {NOTES}, {MATCHED_SQL} select n.id, round({q.relevance(chr(39) * 2, 'coalesce(matched, 0.0::double)', '0')}, 6) as score from n left join matched using (id)",
     "w05_next_in_line": f"""with {NOTES} select id, type, (row_number() over w)::int as rank, lead(id) over w as next_id from n where type is not null
   window w as (partition by type order by weight desc nulls last, id)""",
     "x35_checklists": r"""with x as (select doc_id, regexp_extract_all(coalesce(text, ''), '(?m)^- \[([ xX])\] (.+)$', 1) as m from documents)

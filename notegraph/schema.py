@@ -48,6 +48,13 @@ RESERVED_NAMES = (
 )
 NAME_PATTERN = r"^[a-zA-Z0-9._-]+$"
 WIKI_LINK = r"\[\[([a-zA-Z0-9._-]+)\]\]"
+NEGATORS = ("not", "never", "avoid", "instead", "don't", "shouldn't", "deprecated", "replaced")
+AUTO_APPLY = 0.6
+FENCE = r"```(?:json[c]?|JSON)?\s*\n?(.*?)```"
+ADVISORY_LINKS = {
+    "survivorship_risk": "relates_to", "assumption_risk": "relates_to", "reinforces": "relates_to", "delays": "relates_to",
+    "counteracts": "contradicts", "balancing_loop": "relates_to", "fragmentation_risk": "relates_to",
+}
 FUNCTION_STARTS = r"(?:func|def|class)[ \t\f\r]|(?:export[ \t\f\r]+)?(?:async[ \t\f\r]+)?function[ \t\f\r]"
 
 
