@@ -8,12 +8,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import log
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notegraph.functions import text as tx
 from notegraph.schema import BM25_B, BM25_K1
-from notegraph.scratch import materialize
+from notegraph.scratch import exists, materialize, new_path
 
 
 @dataclass(frozen=True)
@@ -26,35 +26,126 @@ class Index:
     avg_len: float
 
 
+def _counted(tokens: Column) -> Column:
+    """Structs (term, n) of the distinct tokens of an array: runs of equal tokens in the sorted array, so no shuffle counts them."""
+    n = F.size("sorted")
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("sorted", i) != F.get("sorted", i - 1)))
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(n))
+    return starts, F.zip_with("starts", ends, lambda a, b: F.struct(F.get("sorted", a).alias("term"), (b - a).alias("n")))
+
+
+def _posted(docs: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
+    """Postings, and the lengths of all texts; each text is tokenized once."""
+    lengths = materialize(docs.select(*by, "id", F.array_sort(tx.search_tokens(F.col("text"))).alias("sorted")).withColumn("doc_len", F.size("sorted")), "tokens")
+    starts, counts = _counted(F.col("sorted"))
+    rows = lengths.filter("doc_len > 0").withColumn("starts", starts).select(*by, "id", "doc_len", F.inline(counts))
+    return rows.select(*by, "id", "term", (F.col("n").cast("double") / F.col("doc_len")).alias("tf"), "doc_len"), lengths.select(*by, "doc_len")
+
+
+def _idf(n_docs: Column) -> Column:
+    return F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+
+
 def build_index(docs: DataFrame) -> Index:
     """Index of (id, text). Texts without tokens count in the number and mean length of the texts and have no postings."""
-    tokens = docs.select("id", tx.search_tokens(F.col("text")).alias("tokens")).select("id", "tokens", F.size("tokens").alias("doc_len"))
-    n_docs, total = tokens.agg(F.count("*"), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
-    counts = tokens.select("id", "doc_len", F.explode("tokens").alias("term")).groupBy("id", "doc_len", "term").agg(F.count("*").alias("n"))
-    postings = materialize(counts.select("id", "term", (F.col("n").cast("double") / F.col("doc_len")).alias("tf"), "doc_len"), "postings")
+    postings, lengths = _posted(docs)
+    postings = materialize(postings, "postings")
+    n_docs, total = lengths.agg(F.count("*"), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    return Index(postings, df.withColumn("idf", idf), n_docs, total / n_docs if n_docs else 0.0)
+    terms = materialize(df.withColumn("idf", _idf(F.lit(float(n_docs)))), "terms")
+    return Index(postings, terms, n_docs, total / n_docs if n_docs else 0.0)
+
+
+def save_index(index: Index, path: str) -> None:
+    """Write the index as tables; postings by ranges of terms, so that a search reads those of its terms."""
+    index.postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    index.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    spark = index.postings.sparkSession
+    spark.createDataFrame([(index.n_docs, index.avg_len)], "n_docs bigint, avg_len double").coalesce(1).write.mode("overwrite").parquet(f"{path}/collection")
+
+
+def load_index(spark: SparkSession, path: str) -> Index:
+    n_docs, avg_len = spark.read.parquet(f"{path}/collection").first()
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), n_docs, avg_len)
+
+
+_kept: dict[str, str] = {}
+
+
+def kept_index(docs: DataFrame, name: str, version: str) -> Index:
+    """The index of ``docs`` that this application keeps under ``name``; built when there is none, or when ``version`` of the data
+    has changed since, or when the tables were released."""
+    spark = docs.sparkSession
+    key = f"{spark.sparkContext.applicationId}/{name}/{version}"
+    path = _kept.get(key)
+    if path is None or not exists(spark, f"{path}/collection/_SUCCESS"):
+        path = new_path(spark, f"index-{name}")
+        save_index(build_index(docs), path)
+        _kept[key] = path
+    return load_index(spark, path)
 
 
 def _weight(index: Index) -> Column:
-    norm = F.lit(BM25_K1) * (1 - BM25_B + F.lit(BM25_B) * F.col("doc_len") / F.lit(index.avg_len or 1.0))
+    return _term_weight(F.lit(index.avg_len or 1.0))
+
+
+def _term_weight(avg_len: Column) -> Column:
+    norm = F.lit(BM25_K1) * (1 - BM25_B + F.lit(BM25_B) * F.col("doc_len") / avg_len)
     return F.col("idf") * (F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + norm))
 
 
-def _best(scores: DataFrame, by: str, k: int) -> DataFrame:
+def _best(scores: DataFrame, by: str | list[str], k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(F.round("score", 9)), "id"))
     return scores.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(tx.search_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+
+
 def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, id, score, rank of the k best texts of each query (query_id, text); a repeated query term counts each time."""
-    asked = queries.select("query_id", F.explode(tx.search_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    hits = asked.join(index.terms, "term").join(index.postings, "term")
+    hits = _asked(queries).join(index.terms, "term").join(index.postings, "term")
     scores = hits.groupBy("query_id", "id").agg(F.sum(F.col("times") * _weight(index)).alias("score")).filter("score > 0")
     return _best(scores, "query_id", k)
 
 
+@dataclass(frozen=True)
+class Corpora:
+    """Indexes of many corpora side by side, each with its own frequencies: postings and terms have the corpus, and so have sizes."""
+
+    postings: DataFrame
+    terms: DataFrame
+    sizes: DataFrame
+
+
+def build_corpora(chunks: DataFrame) -> Corpora:
+    """Indexes of chunks (corpus, id, text)."""
+    postings, lengths = _posted(chunks, "corpus")
+    postings = materialize(postings, "corpus-postings")
+    sizes = materialize(lengths.groupBy("corpus").agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len")), "corpus-sizes")
+    df = postings.groupBy("corpus", "term").agg(F.count("*").alias("df")).join(sizes, "corpus")
+    return Corpora(postings, materialize(df.select("corpus", "term", _idf(F.col("n_docs").cast("double")).alias("idf"), "avg_len"), "corpus-terms"), sizes)
+
+
+def search_corpora(corpora: Corpora, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, corpus, id, score, rank of the k best chunks of each corpus for each query (query_id, text, and corpus if only
+    one is asked)."""
+    asked = _asked(queries)
+    if "corpus" in queries.columns:
+        asked = asked.join(queries.select("query_id", "corpus").distinct(), "query_id").join(corpora.terms, ["corpus", "term"])
+    else:
+        asked = asked.join(corpora.terms, "term")
+    hits = asked.join(corpora.postings, ["corpus", "term"])
+    scores = hits.groupBy("query_id", "corpus", "id").agg(F.sum(F.col("times") * _term_weight(F.col("avg_len"))).alias("score")).filter("score > 0")
+    return _best(scores, ["query_id", "corpus"], k)
+
+
+def merged(found: DataFrame, k: int) -> DataFrame:
+    """The k best of all corpora for each query, scores of different corpora side by side as they are."""
+    return _best(found.drop("rank"), "query_id", k)
+
+
 def distinctive_terms(index: Index, n: int = 8) -> DataFrame:
     """id, term, weight, rank: the n terms of each text with the largest tf x idf."""
     rows = index.postings.join(index.terms, "term").select("id", "term", "idf", (F.col("tf") * F.col("idf")).alias("weight"))
@@ -82,13 +173,37 @@ def thresholds(n_docs: int) -> tuple[float, float]:
     return min(max(2.0 * ratio, 0.3), 6.0), min(max(1.0 * ratio, 0.15), 3.0)
 
 
-def seeds(topics: DataFrame, notes: DataFrame, concepts: DataFrame, k: int = 10, index: Index | None = None) -> DataFrame:
+def _grams(word: Column, n: int) -> Column:
+    return F.when(F.length(word) >= n, F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substring(word, i, F.lit(n))))
+
+
+def contained(words: DataFrame, titles: DataFrame) -> DataFrame:
+    """The rows of words (word and other columns) with the id of each title (id, title) that contains the word.
+
+    A word and a title meet on one run of three letters, the word's rarest among the titles; shorter words meet on themselves.
+    """
+    own = F.when(F.length("word") >= 3, _grams(F.col("word"), 3)).otherwise(F.array("word"))
+    keys = words.select("word").distinct().select("word", F.explode(F.array_distinct(own)).alias("gram"))
+    every = F.array_distinct(F.flatten(F.array_compact(F.array(*[_grams(F.col("title"), n) for n in (1, 2, 3)]))))
+    posts = titles.filter("title <> ''").select("id", "title", F.explode(every).alias("gram")).join(keys.select("gram").distinct(), "gram", "left_semi")
+    posts = materialize(posts.select("id", "title", "gram"), "title-grams")
+    held = posts.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = keys.join(held, "gram", "left").groupBy("word").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"))).alias("g"))
+    met = rarest.select("word", F.col("g.gram").alias("gram")).join(posts, "gram").filter(F.contains("title", "word"))
+    return words.join(met.select("word", "id"), "word")
+
+
+def seeds(
+    topics: DataFrame, notes: DataFrame, concepts: DataFrame, k: int = 10, index: Index | None = None, ambient: DataFrame | None = None, co_access: DataFrame | None = None
+) -> DataFrame:
     """query_id, id, strength, seed_pos: the notes to start from for each topic (query_id, text).
 
     Per topic keyword: 1 for a concept reference (``concepts``: source, target), 1 for a tag, 0.3 for a body word; 0.5 for a
     keyword inside a title, only for topics without concept and tag hits. Each side is exploded and joined on the keyword.
     With an ``index`` of the notes its 20 best for a topic with keywords add half their score over the topic's best score.
-    Ambient and co-access signals are left out.
+    ``ambient`` (query_id, text, boost) gives further texts whose keywords count ``boost`` for each tag they name. ``co_access``
+    (name, trigger, boosted, boost; two arrays of lower-case tags) raises the notes with a boosted tag by ``boost`` for each
+    such tag, in topics where a note found so far has a trigger tag.
     """
     asked = topics.select("query_id", F.explode(tx.keywords(F.col("text"))).alias("word"))
     by_concept = asked.join(concepts.select(F.col("source").alias("id"), F.col("target").alias("word")), "word").select("query_id", "id", F.lit(1.0).alias("s"))
@@ -98,18 +213,87 @@ def seeds(topics: DataFrame, notes: DataFrame, concepts: DataFrame, k: int = 10,
     words = notes.select("id", F.explode(tx.keywords(F.col("body"))).alias("word"))
     by_body = asked.join(words, "word").select("query_id", "id", F.lit(0.3).alias("s"))
     weak_topics = asked.join(strong.select("query_id").distinct(), "query_id", "left_anti")
-    # a keyword may stand inside a longer word of the title, so they meet on its first two characters
     titles = notes.select("id", F.lower(F.coalesce("title", F.lit(""))).alias("title"))
-    grams = F.transform(F.sequence(F.lit(1), F.length("title")), lambda i: F.substring("title", i, F.lit(2)))
-    letters = F.split("title", "")
-    titles = titles.filter("title <> ''").select("id", "title", F.explode(F.array_distinct(F.concat(grams, letters))).alias("gram"))
-    met = weak_topics.withColumn("gram", F.left("word", F.lit(2))).join(titles, "gram").filter(F.contains("title", "word"))
-    by_title = met.select("query_id", "id", F.lit(0.5).alias("s"))
+    by_title = contained(weak_topics, titles).select("query_id", "id", F.lit(0.5).alias("s"))
     signals = strong.unionByName(by_body).unionByName(by_title)
     if index is not None:
         found = search(index, topics.join(asked.select("query_id").distinct(), "query_id", "left_semi"), 20)
         share = F.col("score") / F.max("score").over(Window.partitionBy("query_id")) * 0.5
         signals = signals.unionByName(found.select("query_id", "id", share.alias("s")))
+    if ambient is not None:
+        around = ambient.select("query_id", F.col("boost").cast("double").alias("s"), F.explode(tx.keywords(F.col("text"))).alias("word"))
+        signals = signals.unionByName(around.join(tags, "word").select("query_id", "id", "s"))
+    if co_access is not None:
+        signals = materialize(signals, "signals")
+        found = signals.select("query_id", "id").distinct().join(tags, "id").select("query_id", "word").distinct()
+        raised = found.join(co_access.select("name", "boosted", "boost", F.explode("trigger").alias("word")), "word").select("query_id", "name", "boosted", "boost").distinct()
+        # each tag of a note counts, also one that only differs in case from another
+        every = notes.select("id", F.explode(F.transform("tags", F.lower)).alias("word"))
+        more = raised.select("query_id", F.col("boost").cast("double").alias("s"), F.explode(F.array_distinct("boosted")).alias("word")).join(every, "word")
+        signals = signals.unionByName(more.select("query_id", "id", "s"))
     scored = signals.groupBy("query_id", "id").agg(F.sum("s").alias("strength"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("strength", 9)), "id"))
     return scored.withColumn("seed_pos", place).filter(F.col("seed_pos") <= k)
+
+
+def reranked(context: DataFrame, notes: DataFrame) -> DataFrame:
+    """A context (query_id, id, hop, score) with completed tasks at half and deprecated notes at a tenth of their score, ranked again."""
+    known = context.join(notes.select("id", "type", "status"), "id")
+    done = F.when((F.col("type") == "task") & (F.col("status") == "completed"), 0.5).otherwise(1.0)
+    old = F.when(F.col("status") == "deprecated", 0.1).otherwise(1.0)
+    lower = known.select("query_id", "id", "hop", (F.col("score") * done * old).alias("score"))
+    return lower.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")))
+
+
+def echoes(context: DataFrame, alike: DataFrame, live: DataFrame, boost: float = 0.15) -> DataFrame:
+    """query_id, id, score: live notes (id) similar (src, id) to one of the context (query_id, id) that are not in it, once each."""
+    near = context.select("query_id", F.col("id").alias("src")).join(alike.select("src", "id"), "src").select("query_id", "id").distinct()
+    fresh = near.join(context.select("query_id", "id"), ["query_id", "id"], "left_anti").join(live.select("id"), "id", "left_semi")
+    return fresh.select("query_id", "id", F.lit(boost).alias("score"))
+
+
+def prompt_context(index: Index, prompts: DataFrame, notes: DataFrame, threshold: float, most: int = 3) -> DataFrame:
+    """query_id, id, score, place: for prompts (query_id, text) with at least three keywords up to ``most`` active notes out of
+    the five best that score ``threshold`` or more."""
+    asked = prompts.select("query_id", tx.keywords(F.col("text")).alias("words")).filter(F.size("words") >= 3)
+    found = search(index, asked.select("query_id", F.array_join("words", " ").alias("text")), 5).filter(F.col("score") >= threshold)
+    kept = found.join(notes.filter("status = 'active'").select("id"), "id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return kept.withColumn("place", place).filter(F.col("place") <= most).select("query_id", "id", "score", "place")
+
+
+def auto_links(index: Index, fresh: DataFrame, most: int = 5, least: float = 0.1) -> DataFrame:
+    """id, other, score, place: up to ``most`` notes that a new note (id, text) should point to, itself left out."""
+    found = search(index, fresh.select(F.col("id").alias("query_id"), "text"), most + 1).filter((F.col("query_id") != F.col("id")) & (F.col("score") >= least))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return found.withColumn("place", place).filter(F.col("place") <= most).select(F.col("query_id").alias("id"), F.col("id").alias("other"), "score", "place")
+
+
+def hinted(topics: DataFrame, anchors: DataFrame, least: int = 2) -> DataFrame:
+    """query_id, id, n: anchors (id, hint) whose hint shares at least ``least`` keywords with the topic (query_id, text)."""
+    asked = topics.select("query_id", F.explode(tx.keywords(F.col("text"))).alias("word"))
+    hints = anchors.select("id", F.explode(tx.keywords(F.col("hint"))).alias("word"))
+    return asked.join(hints, "word").groupBy("query_id", "id").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+
+
+def augmented(context: DataFrame, anchors: DataFrame, corpora: Corpora, topics: DataFrame, most: int = 2, chunks: int = 3, least: float = 0.3) -> DataFrame:
+    """query_id, corpus, id, score, rank: chunks of the first ``most`` corpora that anchors (id, corpus) in the context (query_id,
+    id, rank) point to and that have a chunk relevant enough."""
+    places = context.join(anchors, "id").groupBy("query_id", "corpus").agg(F.min("rank").alias("at"))
+    found = search_corpora(corpora, topics, chunks).filter(F.col("score") >= least).join(places, ["query_id", "corpus"])
+    order = F.dense_rank().over(Window.partitionBy("query_id").orderBy("at", "corpus"))
+    return found.withColumn("_place", order).filter(F.col("_place") <= most).select("query_id", "corpus", "id", "score", "rank")
+
+
+def corpus_of(chunk_ids: DataFrame, corpora: DataFrame) -> DataFrame:
+    """id, corpus: the longest known name (corpus) that the id starts with before a ``-``, else the id without its last two parts.
+
+    Names and ids meet on the prefixes of the id that end at a ``-``.
+    """
+    parts = F.split("id", "-")
+    prefixes = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "-")))
+    rows = chunk_ids.select("id").distinct()
+    met = rows.select("id", F.explode(prefixes).alias("corpus")).join(corpora.select("corpus").distinct(), "corpus")
+    best = met.groupBy("id").agg(F.max_by("corpus", F.length("corpus")).alias("corpus"))
+    plain = F.when(F.size(parts) > 2, F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 2), "-")).otherwise(F.col("id"))
+    return rows.join(best, "id", "left").select("id", F.coalesce("corpus", plain).alias("corpus"))

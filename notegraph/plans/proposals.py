@@ -64,7 +64,7 @@ def r22_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 def x25_quality(spark: SparkSession, folder: str) -> DataFrame:
     found = review.quality(_proposals(_base(spark, folder)), r22_scores(spark, folder))
-    return found.select("pid", F.round("quality", 4).alias("quality"))
+    return found.select("pid", F.round("quality", 12).alias("quality"))
 
 
 def _sure(spark: SparkSession, folder: str) -> DataFrame:
@@ -293,7 +293,7 @@ SQL = {
     "f23_valid": f"with {NOTES}, {_PR} select pid, coalesce(nullif(severity, ''), 'medium') as severity from pr where coalesce(rationale, '') <> '' and len(sources) > 0",
     "x22_structure": f"with {NOTES}, {_PR} select pid, round({_STRUCTURE}, 6) as structure from pr",
     "r22_scores": f"with {NOTES}, {_SCORE} select * from sco",
-    "x25_quality": f"with {NOTES}, {_SCORE}, {_PR}, {_QUALITY} select pid, round(quality, 4) as quality from qual",
+    "x25_quality": f"with {NOTES}, {_SCORE}, {_PR}, {_QUALITY} select pid, round(quality, 12) as quality from qual",
     "x24_proposal_confidence": f"with {NOTES}, {_SURE} select pid, round(confidence, 6) as confidence from sure",
     "v16_split": f"with {NOTES}, {_SURE} select kind, round(confidence, 9) >= 0.6::double as applied, count(*) as n from sure group by all",
     "j20_persisted": f"with {NOTES}, {_LE}, {_PR}, {_PERSISTED} select pid, persisted from per",

@@ -14,7 +14,7 @@ from notegraph.operators.order import quantiles
 from notegraph.plans import sqlparts as q
 from notegraph.plans.sqlparts import AS_OF, NOTES
 from notegraph.scratch import materialize
-from notegraph.sources.tables import folded, table
+from notegraph.sources.tables import folded, table, version
 
 MERGE_SCORE = 2.0
 
@@ -28,6 +28,15 @@ def _note_texts(spark: SparkSession, folder: str) -> DataFrame:
     return notes.select("id", F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("body")).alias("text"))
 
 
+def doc_index(spark: SparkSession, folder: str) -> retrieval.Index:
+    return retrieval.kept_index(_docs(spark, folder), "documents", version(spark, folder, "documents"))
+
+
+def note_index(spark: SparkSession, folder: str) -> retrieval.Index:
+    """The index of the notes that are not deprecated."""
+    return retrieval.kept_index(_note_texts(spark, folder), "notes", version(spark, folder, "notes"))
+
+
 def x01_tokens(spark: SparkSession, folder: str) -> DataFrame:
     tokens = tx.search_tokens(F.col("text"))
     return _docs(spark, folder).select("id", F.size(tokens).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(tokens)).cast("bigint").alias("n_distinct"))
@@ -69,14 +78,14 @@ def s25_first_copies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def r01_postings(spark: SparkSession, folder: str) -> DataFrame:
-    index = retrieval.build_index(_docs(spark, folder))
+    index = doc_index(spark, folder)
     return index.terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def r02_search(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best documents for the text of each reading sample."""
     queries = table(spark, folder, "reading_samples").select(F.col("sample_id").alias("query_id"), "text")
-    found = retrieval.search(retrieval.build_index(_docs(spark, folder)), queries, 10)
+    found = retrieval.search(doc_index(spark, folder), queries, 10)
     return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -84,23 +93,23 @@ def r02_document_search(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best documents for the text of every twentieth one; r02_search has the reading samples as queries."""
     docs = _docs(spark, folder)
     queries = docs.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "text")
-    found = retrieval.search(retrieval.build_index(docs), queries, 10)
+    found = retrieval.search(doc_index(spark, folder), queries, 10)
     return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 def r03_similar(spark: SparkSession, folder: str) -> DataFrame:
-    found = retrieval.similar(retrieval.build_index(_note_texts(spark, folder)))
+    found = retrieval.similar(note_index(spark, folder))
     return found.select("src", "id", F.round("score", 6).alias("score"), "rank")
 
 
 def r04_distinctive(spark: SparkSession, folder: str) -> DataFrame:
-    found = retrieval.distinctive_terms(retrieval.build_index(_note_texts(spark, folder)))
+    found = retrieval.distinctive_terms(note_index(spark, folder))
     return found.select("id", "term", F.round("weight", 6).alias("weight"), "rank")
 
 
 def r10_content_links(spark: SparkSession, folder: str) -> DataFrame:
     """Similar notes that no edge links yet, the smaller id first, with the better of the two scores."""
-    index = retrieval.build_index(_note_texts(spark, folder))
+    index = note_index(spark, folder)
     found = retrieval.similar(index, 3, retrieval.thresholds(index.n_docs)[1])
     pairs = found.groupBy(F.least("src", "id").alias("a"), F.greatest("src", "id").alias("b")).agg(F.max("score").alias("score"))
     edges = graph.live_edges(table(spark, folder, "edges"))
@@ -110,7 +119,7 @@ def r10_content_links(spark: SparkSession, folder: str) -> DataFrame:
 
 def g11_merge_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Connected groups of at least three notes that are very similar, by their smallest id."""
-    found = retrieval.similar(retrieval.build_index(_note_texts(spark, folder)), 5, MERGE_SCORE)
+    found = retrieval.similar(note_index(spark, folder), 5, MERGE_SCORE)
     links = materialize(found.select(F.col("src").alias("a"), F.col("id").alias("b")), "similar")
     sized = connected_components(links).groupBy("component").agg(F.count("*").alias("n"), F.max("node").alias("last"))
     return sized.filter("n >= 3")
@@ -208,7 +217,7 @@ def a26_configs(spark: SparkSession, folder: str) -> DataFrame:
 
 def a27_calibration(spark: SparkSession, folder: str) -> DataFrame:
     """Median and upper quartile of the similarity scores, kept within half and twice the adaptive threshold."""
-    index = retrieval.build_index(_note_texts(spark, folder))
+    index = note_index(spark, folder)
     base = retrieval.thresholds(index.n_docs)[1]
     n, both = quantiles(retrieval.similar(index), "score", (0.5, 0.75))
     kept = [None if x is None else F.round(F.greatest(F.lit(base / 2), F.least(F.lit(base * 2), F.lit(x))), 6) for x in both]

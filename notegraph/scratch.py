@@ -26,11 +26,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-notegraph-"))
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path for a new scratch table, deleted by ``release``."""
+    path = f"{scratch_dir(spark)}/notegraph/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def write(df: DataFrame, label: str) -> str:
     """Write ``df`` to a new scratch table and return its path."""
-    path = f"{scratch_dir(df.sparkSession)}/notegraph/{label}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
     return path
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,3 +37,15 @@ def distinct_notes(notes: DataFrame, *columns: str) -> DataFrame:
     return notes.filter(F.col("id").isNotNull()).groupBy("id").agg(*picked) if picked else (
         notes.filter(F.col("id").isNotNull()).select("id").distinct()
     )
+
+
+def version(spark: SparkSession, folder: str, *names: str) -> str:
+    """A name of the present state of tables: it changes when a file comes, goes, grows or is written again."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    seen = []
+    for name in names:
+        root = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        for file in sorted(root.getFileSystem(conf).globStatus(root), key=lambda f: f.getPath().toString()):
+            held = root.getFileSystem(conf).getContentSummary(file.getPath())
+            seen.append(f"{file.getPath()}|{held.getLength()}|{held.getFileCount()}|{file.getModificationTime()}")
+    return hashlib.sha256("\n".join(seen).encode()).hexdigest()[:16]
