@@ -164,6 +164,15 @@ def traverse(seeds: DataFrame, notes: DataFrame, edges: DataFrame, as_of: str, c
     return visited.select("query_id", "id", "hop", "score", rank.alias("rank")).filter(F.col("rank") <= cfg.max_results)
 
 
+def disputed_within(results: DataFrame, edges: DataFrame, notes: DataFrame) -> DataFrame:
+    """query_id, id, disputed: how many others of a result (query_id, id) a note contradicts; deprecated notes do not count."""
+    live = notes.filter("status <> 'deprecated'").select("id")
+    held = results.select("query_id", "id").distinct().join(live, "id")
+    against = edges.filter("edge_type = 'contradicts' and source <> target").select(F.col("source").alias("id"), F.col("target").alias("other")).distinct()
+    met = held.join(against, "id").join(held.select("query_id", F.col("id").alias("other")), ["query_id", "other"])
+    return met.groupBy("query_id", "id").agg(F.count("*").alias("disputed"))
+
+
 def apply_links(notes: DataFrame, requests: DataFrame) -> DataFrame:
     """id, link_type, target to add for requests (source, target, link_type): the link, and its symmetric or inverse side.
 

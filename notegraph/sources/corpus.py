@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notegraph.functions.text import body_hook
+from notegraph.operators.chunks import function_chunks, heading_chunks
 
 # Extensions of the files a corpus takes, and of those that are cut by function.
 EXTENSIONS = (
@@ -44,6 +45,40 @@ def refresh(chunks: DataFrame, manifest: DataFrame, files: DataFrame, chunker) -
     return kept.unionByName(chunker(again).withColumnRenamed("id", "path"))
 
 
+def ensured(manifest: DataFrame, asked: DataFrame, files: DataFrame) -> DataFrame:
+    """path, state of the union of the manifest's paths and those asked for: ``kept`` (same hash), ``changed``, ``added`` or
+    ``missing`` (no such file). ``manifest`` and ``files`` have path and hash, ``asked`` has path."""
+    paths = manifest.select("path").unionByName(asked.select("path")).filter("path is not null").distinct()
+    was = manifest.groupBy("path").agg(F.min("hash").alias("was"))
+    now = files.groupBy("path").agg(F.min("hash").alias("now"), F.lit(True).alias("there"))
+    both = paths.join(was, "path", "left").join(now, "path", "left")
+    state = F.when(F.col("there").isNull(), "missing").when(F.col("was") == F.col("now"), "kept").when(F.col("was").isNull(), "added").otherwise("changed")
+    return both.select("path", state.alias("state"))
+
+
+def chunked(files: DataFrame) -> DataFrame:
+    """id, idx, heading, text of files (id, path, text), each cut as its extension asks for."""
+    kind = chunk_strategy(F.col("path"))
+    prose = heading_chunks(files.filter(kind == "heading-aware"))
+    return prose.unionByName(function_chunks(files.filter(kind == "function-level")))
+
+
+def save_chunks(chunks: DataFrame, path: str) -> None:
+    """Write chunks (corpus, id, source_path, heading, text) as a table with a folder for each corpus."""
+    chunks.write.mode("overwrite").partitionBy("corpus").parquet(path)
+
+
+def load_chunks(spark: SparkSession, path: str, corpus: str | None = None) -> DataFrame:
+    chunks = spark.read.option("recursiveFileLookup", "false").parquet(path).withColumn("corpus", F.col("corpus").cast("string"))
+    return chunks if corpus is None else chunks.filter(F.col("corpus") == corpus)
+
+
+def manifest(chunks: DataFrame) -> DataFrame:
+    """corpus, chunk_count, n_files, checksum: what a corpus holds; the checksum adds up a hash of each chunk, in any order."""
+    part = F.conv(F.substring(F.md5(F.concat("id", F.lit("="), "text")), 1, 8), 16, 10).cast("bigint")
+    return chunks.groupBy("corpus").agg(F.count("*").alias("chunk_count"), F.countDistinct("source_path").alias("n_files"), F.sum(part).alias("checksum"))
+
+
 def index_line(limit: int = 200) -> Column:
     """``- [title](nodes/id.md) — hook`` of a note, cut to ``limit`` characters."""
     title = F.coalesce(F.nullif("title", F.lit("")), F.col("id"))
