@@ -130,3 +130,9 @@ def body_of(text: Column) -> Column:
     whole = trimmed(text)
     at = F.instr(whole, "\n")
     return F.when(at > 0, trimmed(F.substring(whole, at + 1, F.length(whole)))).otherwise(F.when(text.isNotNull(), F.lit("")))
+
+
+def external_ref(text: Column) -> Column:
+    """Struct (provider, id, url) of ``provider:id`` or ``provider:id:url``; null without an id. The url may hold colons."""
+    parts = F.split(text, ":", 3)
+    return F.when(F.size(parts) >= 2, F.struct(F.get(parts, F.lit(0)).alias("provider"), F.get(parts, F.lit(1)).alias("id"), F.get(parts, F.lit(2)).alias("url")))

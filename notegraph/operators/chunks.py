@@ -58,3 +58,13 @@ def function_chunks(docs: DataFrame, cfg: Chunking = CHUNKING) -> DataFrame:
     starts = text.rlike(rf"(?:\A|\n)(?:{FUNCTION_STARTS})")
     plain = F.array(F.struct(F.lit("").alias("heading"), windows(tx.fields(text), cfg).alias("texts")))
     return _chunks(docs.select("id", F.when(starts, F.transform(pieces, part)).otherwise(plain).alias("parts")))
+
+
+def sections(docs: DataFrame) -> DataFrame:
+    """id, idx, level, heading, body of (id, text): the sections under headings of one to four ``#`` whose body is not blank."""
+    text = F.concat(F.lit("\n"), F.coalesce("text", F.lit("")))
+    pieces = docs.select("id", F.posexplode(F.split(text, r"\n(?=#{1,4}[ \t]+\S)")).alias("idx", "piece")).filter("idx > 0")
+    line = F.substring_index("piece", "\n", 1)
+    body = F.btrim(F.substring("piece", F.length(line) + 2, F.length("piece")), F.lit(" \t\r\n"))
+    head = F.btrim(F.regexp_extract(line, r"^#+(.*)$", 1), F.lit(" \t\r\n"))
+    return pieces.select("id", "idx", F.length(F.regexp_extract(line, r"^(#+)", 1)).alias("level"), head.alias("heading"), body.alias("body")).filter("body <> ''")

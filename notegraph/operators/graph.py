@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from notegraph import schema
 from notegraph.functions import text as tx
-from notegraph.functions.scoring import relevance
+from notegraph.functions.scoring import relevance, specificity
+from notegraph.operators.hierarchy import cycle_members
 from notegraph.scratch import materialize, read, write
 
 
@@ -259,3 +260,67 @@ def degree_summary(edges: DataFrame) -> DataFrame:
     return per_source.groupBy("edge_type").agg(F.sum("k").alias("n"), F.count("*").alias("sources"), F.max("k").alias("most")).join(targets, "edge_type")
 
 
+def chains(notes: DataFrame, starts: DataFrame) -> DataFrame:
+    """id, node, level: what stands around each start (id): steps back over depends_on as negative levels, on over blocks as
+    positive ones; a node on both sides has the nearer level, of equally near ones the negative. Ends that are no note have none.
+    """
+    spark = notes.sparkSession
+    known = notes.select(F.col("id").alias("node"))
+    found = None
+    for kind, sign in (("depends_on", -1), ("blocks", 1)):
+        steps = materialize(notes.select(F.col("id").alias("at"), F.explode(kind).alias("node")).distinct(), "steps")
+        first = starts.select("id", F.col("id").alias("node"), F.lit(0).cast("bigint").alias("level"))
+        done = [write(first, "chain")]
+        ahead, level = read(spark, done[0], first), 0
+        while not ahead.isEmpty():
+            level += sign
+            near = ahead.select("id", F.col("node").alias("at")).join(steps, "at").select("id", "node").distinct()
+            near = near.join(read(spark, done, first).select("id", "node"), ["id", "node"], "left_anti")
+            done.append(write(near.withColumn("level", F.lit(level).cast("bigint")), "chain"))
+            ahead = read(spark, done[-1], first)
+        side = read(spark, done, first)
+        found = side if found is None else found.unionByName(side)
+    nearest = F.min(F.struct(F.abs("level").alias("far"), F.col("level")))
+    return found.join(known, "node", "left_semi").groupBy("id", "node").agg(nearest.alias("l")).select("id", "node", F.col("l.level").alias("level"))
+
+
+def edge_scores(edges: DataFrame, notes: DataFrame, log: DataFrame, as_of: str, cfg: schema.Scoring = schema.SCORING) -> DataFrame:
+    """source, id, edge_type, score of the target of each edge, with the edge's bonus, the specificity of its own tags as matched
+    ones, and a penalty for each note in force that it contradicts (by the edges of ``log``)."""
+    tags = notes.select("id", F.explode("tags").alias("tag"))
+    per_tag = tags.groupBy("tag").agg(specificity(F.count("*")).alias("s"))
+    matched = tags.join(per_tag, "tag").groupBy("id").agg(F.avg("s").alias("matched"))
+    live = notes.filter("status <> 'deprecated'").select(F.col("id").alias("target"))
+    against = log.filter("edge_type = 'contradicts'").select(F.col("source").alias("id"), "target").distinct().join(live, "target").groupBy("id").agg(F.count("*").alias("disputed"))
+    full = notes.join(matched, "id", "left").join(against, "id", "left").fillna(0.0, ["matched"]).fillna(0, ["disputed"])
+    rows = edges.select("source", F.col("target").alias("id"), "edge_type").join(full, "id")
+    return rows.select("source", "id", "edge_type", relevance(F.col("edge_type"), F.col("matched"), F.col("disputed"), as_of, cfg).alias("score"))
+
+
+def shortest_cycles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, cycle: for each node that can reach itself a shortest cycle through it, as an array that starts with its smallest node.
+
+    Paths grow by one step a round, from the nodes on cycles and over edges between them, and are kept once for each pair of
+    start and end.
+    """
+    on = materialize(cycle_members(edges, nodes), "on-cycles")
+    arcs = edges.select("source", "target").distinct().join(on.select(F.col("id").alias("source")), "source", "left_semi")
+    arcs = materialize(arcs.join(on.select(F.col("id").alias("target")), "target", "left_semi").select("source", "target"), "arcs")
+    paths = materialize(arcs.select(F.col("source").alias("start"), F.col("target").alias("node"), F.array("source").alias("path")), "paths")
+    seen, closed = paths.select("start", "node"), []
+    while True:
+        found = paths.filter("start = node").select("start", "path")
+        closed.append(found)
+        done = closed[0]
+        for more in closed[1:]:
+            done = done.unionByName(more)
+        open_ = paths.join(done.select("start").distinct(), "start", "left_anti")
+        longer = open_.join(arcs, F.col("node") == F.col("source")).select("start", F.col("target").alias("node"), F.concat("path", F.array("node")).alias("path"))
+        longer = longer.groupBy("start", "node").agg(F.min("path").alias("path")).join(seen, ["start", "node"], "left_anti")
+        paths = materialize(longer.select("start", "node", "path"), "paths")
+        if paths.isEmpty():
+            break
+        seen = seen.unionByName(paths.select("start", "node"))
+    smallest = F.array_position("path", F.array_min("path")).cast("int")
+    turned = F.concat(F.slice("path", smallest, F.size("path")), F.slice("path", F.lit(1), smallest - 1))
+    return done.groupBy("start").agg(F.min("path").alias("path")).select(F.col("start").alias("id"), turned.alias("cycle"))

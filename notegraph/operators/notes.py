@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from notegraph import schema
 from notegraph.functions import text as tx
 from notegraph.functions.scoring import access_bonus, age_days, recency, salience, specificity
+from notegraph.operators.order import numbered
 from notegraph.sources.tables import distinct_notes, table, trimmed
 
 SCALARS = ("type", "status", "title", "weight", "origin", "created_at", "body", "source_issue", "size", "last_accessed", "access_count")
@@ -209,3 +210,38 @@ def opposed_classes(notes: DataFrame) -> DataFrame:
     a = rows.select("tag", F.col("mask").alias("mask_a"), F.col("k").alias("k_a"))
     b = rows.select("tag", F.col("mask").alias("mask_b"), F.col("k").alias("k_b"))
     return a.join(b, "tag").filter("mask_a < mask_b").select("tag", "mask_a", "mask_b", (F.col("k_a") * F.col("k_b")).alias("n_pairs"))
+
+
+def listed(rows: DataFrame, key: str, member: str) -> DataFrame:
+    """The key, each of its members once, and ``place`` in the key's list; a key with very many members stays many rows."""
+    return numbered(rows.select(key, member).distinct(), [key], [F.col(member)], "place")
+
+
+def summary_clusters(notes: DataFrame, least: int) -> DataFrame:
+    """id, a, b: completed notes that no summary builds on, each in the largest pair of tags on at least ``least`` of them.
+
+    Pairs are formed within a note, and each note keeps its largest (of equals the smallest pair); clusters that keep fewer
+    than ``least`` notes are none.
+    """
+    summed = notes.filter((F.col("type") == "context") & F.contains(F.coalesce("title", F.lit("")), F.lit("Summary"))).select(F.explode("builds_on").alias("id")).distinct()
+    open_ = notes.filter("status = 'completed'").join(summed, "id", "left_anti").select("id", F.array_distinct("tags").alias("tags"))
+    pairs = open_.select("id", F.explode("tags").alias("a"), "tags").select("id", "a", F.explode("tags").alias("b")).filter("a < b")
+    sizes = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "a", "b"))
+    kept = pairs.join(sizes, ["a", "b"]).withColumn("_r", best).filter("_r = 1").select("id", "a", "b")
+    large = kept.groupBy("a", "b").agg(F.count("*").alias("k")).filter(F.col("k") >= least)
+    return kept.join(large, ["a", "b"], "left_semi").select("id", "a", "b")
+
+
+def successors(notes: DataFrame, most: int = 3) -> DataFrame:
+    """id, successor, shared, rank, next_id: for each deprecated note the live notes that could stand in for it.
+
+    Of each tag the four heaviest live notes are candidates; those that share more tags come first, then the heavier.
+    """
+    tags = notes.select("id", "status", "weight", F.explode(F.array_distinct("tags")).alias("tag"))
+    heavy = F.row_number().over(Window.partitionBy("tag").orderBy(F.desc_nulls_last("weight"), "id"))
+    best = tags.filter(F.col("status").isin(*schema.LIVE)).withColumn("_r", heavy).filter(F.col("_r") <= 4).select("tag", F.col("id").alias("successor"), "weight")
+    met = tags.filter("status = 'deprecated'").select("id", "tag").join(best, "tag").groupBy("id", "successor").agg(F.count("*").alias("shared"), F.max("weight").alias("weight"))
+    line = Window.partitionBy("id").orderBy(F.desc("shared"), F.desc_nulls_last("weight"), "successor")
+    placed = met.withColumn("rank", F.row_number().over(line)).withColumn("next_id", F.lead("successor").over(line))
+    return placed.filter(F.col("rank") <= most).select("id", "successor", "shared", "rank", "next_id")

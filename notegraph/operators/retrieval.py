@@ -297,3 +297,10 @@ def corpus_of(chunk_ids: DataFrame, corpora: DataFrame) -> DataFrame:
     best = met.groupBy("id").agg(F.max_by("corpus", F.length("corpus")).alias("corpus"))
     plain = F.when(F.size(parts) > 2, F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 2), "-")).otherwise(F.col("id"))
     return rows.join(best, "id", "left").select("id", F.coalesce("corpus", plain).alias("corpus"))
+
+
+def threshold_columns(n_docs: Column) -> tuple[Column, Column]:
+    """``thresholds`` as columns over a number of texts."""
+    ratio = F.log((n_docs - 0.5) / 1.5 + 1) / F.lit(log((50 - 0.5) / 1.5 + 1))
+    both = ((2.0, 0.3, 6.0), (1.0, 0.15, 3.0))
+    return tuple(F.when(n_docs > 0, F.least(F.greatest(ratio * base, F.lit(low)), F.lit(high))).otherwise(F.lit(low)) for base, low, high in both)

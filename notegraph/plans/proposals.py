@@ -79,7 +79,7 @@ def _sure(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def x24_proposal_confidence(spark: SparkSession, folder: str) -> DataFrame:
-    return _sure(spark, folder).select("pid", F.round("confidence", 6).alias("confidence"))
+    return _sure(spark, folder).select("pid", F.round("confidence", 12).alias("confidence"))
 
 
 def v16_split(spark: SparkSession, folder: str) -> DataFrame:
@@ -294,7 +294,7 @@ SQL = {
     "x22_structure": f"with {NOTES}, {_PR} select pid, round({_STRUCTURE}, 6) as structure from pr",
     "r22_scores": f"with {NOTES}, {_SCORE} select * from sco",
     "x25_quality": f"with {NOTES}, {_SCORE}, {_PR}, {_QUALITY} select pid, round(quality, 12) as quality from qual",
-    "x24_proposal_confidence": f"with {NOTES}, {_SURE} select pid, round(confidence, 6) as confidence from sure",
+    "x24_proposal_confidence": f"with {NOTES}, {_SURE} select pid, round(confidence, 12) as confidence from sure",
     "v16_split": f"with {NOTES}, {_SURE} select kind, round(confidence, 9) >= 0.6::double as applied, count(*) as n from sure group by all",
     "j20_persisted": f"with {NOTES}, {_LE}, {_PR}, {_PERSISTED} select pid, persisted from per",
     "v18_deltas": f"with {NOTES}, {_SCORE}, {_PR}, {_AFFECTED} select pid, round(avg(case when type = 'lesson' then score - (score - 0.1::double) else 0.0::double end), 6) as delta from aff join sco using (id) join n using (id) group by pid",

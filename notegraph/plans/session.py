@@ -62,7 +62,8 @@ def _visits(spark: SparkSession, folder: str) -> DataFrame:
     """Accesses by agent and half hour."""
     log = table(spark, folder, "access_log").filter("mote_id is not null and accessed_at is not null")
     hour = F.date_format(F.to_timestamp(F.floor(F.unix_timestamp(F.col("accessed_at").cast("timestamp")) / 1800) * 1800), STAMP)
-    return log.select(F.concat_ws(" ", folded(F.col("agent_id")), hour).alias("visit"), F.col("mote_id").alias("id")).filter("visit not like ' %'")
+    log = log.withColumn("agent", folded(F.col("agent_id"))).filter("agent <> ''")
+    return log.select(F.concat_ws(" ", "agent", hour).alias("visit"), F.col("mote_id").alias("id"))
 
 
 def j09_visit_pairs(spark: SparkSession, folder: str) -> DataFrame:
