@@ -90,17 +90,29 @@ def contradictions(notes: DataFrame) -> DataFrame:
 
 
 def blocked_by(notes: DataFrame, kind: str = "depends_on") -> DataFrame:
-    """(id): the notes from which a missing or live note can be reached over ``kind``; found backwards, one frontier a round."""
+    """(id): the notes from which a missing or live note can be reached over ``kind``.
+
+    Found backwards, one frontier a round; beside it the pointers of notes with a single way on double, so that a chain takes
+    rounds by the logarithm of its length. A pointer never passes a note that is blocked itself.
+    """
     spark = notes.sparkSession
     steps = materialize(notes.select("id", F.explode(kind).alias("target")).distinct(), "steps")
     known = notes.select(F.col("id").alias("target"), F.col("status").isin(*schema.LIVE).alias("live"))
     first = steps.join(known, "target", "left").filter("live is null or live").select("id").distinct()
     done = [write(first, "blocked")]
     frontier = read(spark, done[0], first)
+    single = steps.groupBy("id").agg(F.count("*").alias("n"), F.first("target").alias("to")).filter("n = 1").select("id", "to")
+    ahead = materialize(single.join(first, "id", "left_anti"), "ahead")
     while not frontier.isEmpty():
-        back = steps.join(frontier.withColumnRenamed("id", "target"), "target", "left_semi").select("id").distinct()
-        done.append(write(back.join(read(spark, done, first), "id", "left_anti"), "blocked"))
+        held = read(spark, done, first)
+        back = steps.join(frontier.withColumnRenamed("id", "target"), "target", "left_semi").select("id")
+        jumped = ahead.join(held.withColumnRenamed("id", "to"), "to", "left_semi").select("id")
+        done.append(write(back.unionByName(jumped).distinct().join(held, "id", "left_anti"), "blocked"))
         frontier = read(spark, done[-1], first)
+        held = read(spark, done, first)
+        rest = ahead.join(held, "id", "left_anti")
+        further = rest.select(F.col("id").alias("to"), F.col("to").alias("next"))
+        ahead = materialize(rest.join(further, "to", "left").select("id", F.coalesce("next", "to").alias("to")), "ahead")
     return read(spark, done, first)
 
 
@@ -135,26 +147,30 @@ def traverse(seeds: DataFrame, notes: DataFrame, edges: DataFrame, as_of: str, c
     note passes the threshold the first in order of (rank of the source, edge type) counts. Contradictions count against
     the notes visited in earlier hops.
     """
-    links = edges.filter("edge_type <> 'concept_ref'").select("source", "target", "edge_type").distinct()
-    disputes = links.filter("edge_type = 'contradicts'").select(F.col("source").alias("id"), F.col("target").alias("other"))
     columns = ("weight", "status", "origin", "type", "access_count", "last_accessed")
+    known = materialize(notes.select("id", *columns), "known")
+    # the notes join the edges once, so each hop only follows edges that bring what the score needs
+    links = edges.filter("edge_type <> 'concept_ref'").select("source", F.col("target").alias("id"), "edge_type").distinct()
+    links = materialize(links.join(known, "id"), "links")
+    in_force = known.filter("status <> 'deprecated'").select(F.col("id").alias("other"))
+    disputes = edges.filter("edge_type = 'contradicts'").select(F.col("source").alias("id"), F.col("target").alias("other")).distinct()
+    disputes = materialize(disputes.join(in_force, "other").select("id", "other"), "disputes")
 
     def scored(rows: DataFrame, before: DataFrame | None) -> DataFrame:
-        full = rows.join(notes.select("id", *columns), "id")
         if before is None:
-            full = full.withColumn("disputed", F.lit(0))
+            full = rows.withColumn("disputed", F.lit(0))
         else:
-            against = before.join(notes.select("id", "status"), "id").filter("status <> 'deprecated'").select("query_id", F.col("id").alias("other"))
-            hits = rows.select("query_id", "id").distinct().join(disputes, "id").join(against, ["query_id", "other"]).groupBy("query_id", "id").agg(F.count("*").alias("disputed"))
-            full = full.join(hits, ["query_id", "id"], "left").fillna(0, ["disputed"])
+            against = rows.select("query_id", "id").distinct().join(disputes, "id")
+            hits = against.join(before.select("query_id", F.col("id").alias("other")), ["query_id", "other"]).groupBy("query_id", "id").agg(F.count("*").alias("disputed"))
+            full = rows.join(hits, ["query_id", "id"], "left").fillna(0, ["disputed"])
         return full.withColumn("score", relevance(F.col("edge_type"), F.lit(0.0), F.col("disputed"), as_of, cfg)).drop(*columns, "disputed")
 
-    start = scored(seeds.select("query_id", "id", F.col("seed_pos").cast("bigint").alias("place"), F.lit("seed").alias("edge_type")), None)
-    visited = materialize(start.select("query_id", "id", F.lit(0).alias("hop"), "place", "score"), "visited")
+    start = seeds.select("query_id", "id", F.col("seed_pos").cast("bigint").alias("place"), F.lit("seed").alias("edge_type")).join(known, "id")
+    visited = materialize(scored(start, None).select("query_id", "id", F.lit(0).alias("hop"), "place", "score"), "visited")
     frontier = visited
     for hop in range(1, cfg.max_hops + 1):
-        near = frontier.select("query_id", F.col("id").alias("source"), F.col("place").alias("from_place")).join(links, "source")
-        near = near.select("query_id", F.col("target").alias("id"), "from_place", "edge_type").join(visited.select("query_id", "id"), ["query_id", "id"], "left_anti")
+        near = frontier.select("query_id", F.col("id").alias("source"), F.col("place").alias("from_place")).join(links, "source").drop("source")
+        near = near.join(visited.select("query_id", "id"), ["query_id", "id"], "left_anti")
         passed = scored(near, visited).filter(F.col("score") >= cfg.min_threshold)
         order = Window.partitionBy("query_id", "id").orderBy("from_place", "edge_type")
         first = passed.withColumn("rn", F.row_number().over(order)).filter("rn = 1")

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from notegraph.functions import text as tx
 from notegraph.schema import BM25_B, BM25_K1
-from notegraph.scratch import exists, materialize, new_path
+from notegraph.scratch import exists, materialize
+from notegraph.sources.tables import spread
 
 
 @dataclass(frozen=True)
@@ -34,12 +35,12 @@ def _counted(tokens: Column) -> Column:
     return starts, F.zip_with("starts", ends, lambda a, b: F.struct(F.get("sorted", a).alias("term"), (b - a).alias("n")))
 
 
-def _posted(docs: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
-    """Postings, and the lengths of all texts; each text is tokenized once."""
-    lengths = materialize(docs.select(*by, "id", F.array_sort(tx.search_tokens(F.col("text"))).alias("sorted")).withColumn("doc_len", F.size("sorted")), "tokens")
+def _posted(docs: DataFrame, *by: str) -> DataFrame:
+    """Postings with the number of times a text has the term; each text is tokenized once and nothing is shuffled."""
+    lists = spread(docs).select(*by, "id", F.sort_array(tx.search_tokens(F.col("text"))).alias("sorted")).withColumn("doc_len", F.size("sorted"))
     starts, counts = _counted(F.col("sorted"))
-    rows = lengths.filter("doc_len > 0").withColumn("starts", starts).select(*by, "id", "doc_len", F.inline(counts))
-    return rows.select(*by, "id", "term", (F.col("n").cast("double") / F.col("doc_len")).alias("tf"), "doc_len"), lengths.select(*by, "doc_len")
+    rows = lists.filter("doc_len > 0").withColumn("starts", starts).select(*by, "id", "doc_len", F.inline(counts))
+    return rows.select(*by, "id", "term", (F.col("n").cast("double") / F.col("doc_len")).alias("tf"), "doc_len", "n")
 
 
 def _idf(n_docs: Column) -> Column:
@@ -48,12 +49,12 @@ def _idf(n_docs: Column) -> Column:
 
 def build_index(docs: DataFrame) -> Index:
     """Index of (id, text). Texts without tokens count in the number and mean length of the texts and have no postings."""
-    postings, lengths = _posted(docs)
-    postings = materialize(postings, "postings")
-    n_docs, total = lengths.agg(F.count("*"), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    postings = materialize(_posted(docs), "postings")
+    n_docs = docs.count()
+    df = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
     terms = materialize(df.withColumn("idf", _idf(F.lit(float(n_docs)))), "terms")
-    return Index(postings, terms, n_docs, total / n_docs if n_docs else 0.0)
+    total = terms.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return Index(postings.drop("n"), terms.drop("n"), n_docs, total / n_docs if n_docs else 0.0)
 
 
 def save_index(index: Index, path: str) -> None:
@@ -69,20 +70,18 @@ def load_index(spark: SparkSession, path: str) -> Index:
     return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), n_docs, avg_len)
 
 
-_kept: dict[str, str] = {}
+_kept: dict[str, Index] = {}
 
 
 def kept_index(docs: DataFrame, name: str, version: str) -> Index:
     """The index of ``docs`` that this application keeps under ``name``; built when there is none, or when ``version`` of the data
-    has changed since, or when the tables were released."""
+    has changed since, or when its tables were released."""
     spark = docs.sparkSession
     key = f"{spark.sparkContext.applicationId}/{name}/{version}"
-    path = _kept.get(key)
-    if path is None or not exists(spark, f"{path}/collection/_SUCCESS"):
-        path = new_path(spark, f"index-{name}")
-        save_index(build_index(docs), path)
-        _kept[key] = path
-    return load_index(spark, path)
+    held = _kept.get(key)
+    if held is None or not all(exists(spark, file) for part in (held.postings, held.terms) for file in part.inputFiles()[:1]):
+        held = _kept[key] = build_index(docs)
+    return held
 
 
 def _weight(index: Index) -> Column:
@@ -121,9 +120,10 @@ class Corpora:
 
 def build_corpora(chunks: DataFrame) -> Corpora:
     """Indexes of chunks (corpus, id, text)."""
-    postings, lengths = _posted(chunks, "corpus")
-    postings = materialize(postings, "corpus-postings")
-    sizes = materialize(lengths.groupBy("corpus").agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len")), "corpus-sizes")
+    postings = materialize(_posted(chunks, "corpus"), "corpus-postings")
+    total = postings.groupBy("corpus").agg(F.sum("n").alias("total"))
+    sizes = chunks.groupBy("corpus").agg(F.count("*").alias("n_docs")).join(total, "corpus", "left")
+    sizes = materialize(sizes.select("corpus", "n_docs", (F.coalesce("total", F.lit(0)) / F.col("n_docs")).alias("avg_len")), "corpus-sizes")
     df = postings.groupBy("corpus", "term").agg(F.count("*").alias("df")).join(sizes, "corpus")
     return Corpora(postings, materialize(df.select("corpus", "term", _idf(F.col("n_docs").cast("double")).alias("idf"), "avg_len"), "corpus-terms"), sizes)
 

@@ -49,3 +49,9 @@ def version(spark: SparkSession, folder: str, *names: str) -> str:
             held = root.getFileSystem(conf).getContentSummary(file.getPath())
             seen.append(f"{file.getPath()}|{held.getLength()}|{held.getFileCount()}|{file.getModificationTime()}")
     return hashlib.sha256("\n".join(seen).encode()).hexdigest()[:16]
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows over at least as many partitions as there are cores; a small table in one file else keeps one core busy."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

@@ -54,3 +54,17 @@ def test_inferred_tags_are_the_first_five_in_order(spark):
     rows = [("a", "zeta alpha other mu beta zeta nu kappa", ["alpha", "beta", "kappa"]), ("b", "plain", ["mu", "nu", "zeta"]), ("c", None, None)]
     found = notes.inferred_tags(spark.createDataFrame(rows, "id string, title string, tags array<string>"))
     assert {r.id: r.tags for r in found.collect()} == {"a": ["zeta", "alpha", "mu", "beta", "nu"]}
+
+
+def test_readiness_over_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    n, rounds = 300, []
+    whole = graph.write
+    monkeypatch.setattr(graph, "write", lambda df, label: (rounds.append(label), whole(df, label))[1])
+    # two chains of done notes behind a task each: one ends at a live note, the other at a done one; a third leads past a live note
+    rows = [("t1", "task", "active", ["a0"]), ("t2", "task", "active", ["b0"]), ("t3", "task", "active", ["c0"]), ("live", "task", "in_progress", [])]
+    for i in range(n):
+        rows += [(f"a{i}", "task", "completed", [f"a{i + 1}" if i < n - 1 else "live"]), (f"b{i}", "task", "completed", [f"b{i + 1}"] if i < n - 1 else [])]
+    rows += [("c0", "task", "completed", ["c1"]), ("c1", "task", "active", ["c2"]), ("c2", "task", "completed", [])]
+    found = spark.createDataFrame(rows, "id string, type string, status string, depends_on array<string>")
+    assert {r.id for r in graph.ready(found).collect()} == {"t2", "c1"}
+    assert rounds.count("blocked") < 20
