@@ -7,14 +7,20 @@ from pyspark.sql import functions as F
 
 from notegraph.llm import cooccurrence, mixing, neardup, reading, terms, tokens
 from notegraph.scratch import materialize
-from notegraph.sources.tables import distinct_notes, folded, table
+from notegraph.sources.tables import distinct_notes, folded, spread, table
+
+
+
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents").select("doc_id", "source", "text"))
+
 
 # -- p1: near-duplicate notes ----------------------------------------------------------------------------------------------
 
 
 def _similar_notes(spark: SparkSession, folder: str) -> neardup.Similar:
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("body", F.lit("")))
-    return neardup.near_duplicates(table(spark, folder, "notes"), F.col("id"), text)
+    return neardup.near_duplicates(spread(table(spark, folder, "notes").select("id", "title", "body")), F.col("id"), text)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,12 +85,12 @@ def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", tokens.encoder(spark)("text").alias("ids"))
+    return _texts(spark, folder).select("doc_id", tokens.encoder(spark)("text").alias("ids"))
 
 
 def p6_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Per document the number of tokens and bytes, and whether the ids decode to the bytes of the text."""
-    ids = table(spark, folder, "documents").select("doc_id", "text", tokens.encoder(spark)("text").alias("ids"))
+    ids = _texts(spark, folder).select("doc_id", "text", tokens.encoder(spark)("text").alias("ids"))
     back = ids.withColumn("raw", tokens.decoder(spark)("ids"))
     whole = tokens.text_or_empty(F.col("text"))
     return back.select(
@@ -97,7 +103,7 @@ def p6_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
+    documents = _texts(spark, folder)
     return materialize(mixing.sized(documents, tokens.token_counter(spark)("text")), "sizes")
 
 
@@ -122,7 +128,7 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _levels(spark: SparkSession, folder: str) -> DataFrame:
-    return reading.reading_levels(table(spark, folder, "documents"), reading.train(table(spark, folder, "reading_samples")))
+    return reading.reading_levels(_texts(spark, folder), reading.train(table(spark, folder, "reading_samples")))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
