@@ -78,6 +78,13 @@ def changed_rows(old: DataFrame, new: DataFrame) -> DataFrame:
     return was.join(now, "key", "full").select("key", state.alias("state"))
 
 
+def to_scan(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The keys of (key, hash) that a scan has to look at: the changed and added ones, or all if nothing has changed."""
+    states = changed_rows(old, new).filter("state <> 'removed'")
+    fresh = states.filter("state <> 'same'")
+    return states.select("key") if fresh.isEmpty() else fresh.select("key")
+
+
 def keep_first(rows: DataFrame, key: Column, order: str) -> DataFrame:
     """first, copies: of rows with equal keys the first by ``order``, and how many there are."""
     return rows.groupBy(key.alias("key")).agg(F.min(order).alias("first"), F.count("*").alias("copies")).select("first", "copies")

@@ -63,6 +63,29 @@ def chunked(files: DataFrame) -> DataFrame:
     return prose.unionByName(function_chunks(files.filter(kind == "function-level")))
 
 
+def ingest(files: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Cut the files (corpus, path, text, hash) of corpora into chunks, write both below ``path`` and return chunks and manifest.
+
+    Files of other extensions are left out. The manifest has corpus, path and hash of every file, also of one without chunks;
+    chunks have corpus, id (corpus, path and number), source_path, heading and text.
+    """
+    spark = files.sparkSession
+    taken = files.filter(extension(F.col("path")).isin(*EXTENSIONS))
+    taken.select("corpus", "path", "hash").write.mode("overwrite").parquet(f"{path}/manifest")
+    keyed = taken.withColumn("id", F.struct("corpus", "path"))
+    parts = chunked(keyed.select("id", "path", "text"))
+    named = parts.select("id.corpus", F.concat_ws("-", "id.corpus", "id.path", "idx").alias("id"), F.col("id.path").alias("source_path"), "heading", "text")
+    save_chunks(named, f"{path}/chunks")
+    return load_chunks(spark, f"{path}/chunks"), spark.read.parquet(f"{path}/manifest")
+
+
+def anchors(manifest: DataFrame) -> DataFrame:
+    """id, type, title, corpus: the note that stands for each corpus of a manifest."""
+    return manifest.select("corpus").distinct().select(
+        F.concat(F.lit("anchor-"), "corpus").alias("id"), F.lit("anchor").alias("type"), F.concat(F.lit("Reference: "), "corpus").alias("title"), "corpus"
+    )
+
+
 def save_chunks(chunks: DataFrame, path: str) -> None:
     """Write chunks (corpus, id, source_path, heading, text) as a table with a folder for each corpus."""
     chunks.write.mode("overwrite").partitionBy("corpus").parquet(path)

@@ -73,3 +73,38 @@ def test_extensions_of_a_corpus(spark, tmp_path):
         (tmp_path / name).write_text("x")
     got = {r.path.rsplit("/", 1)[1] for r in corpus.read_corpus(spark, str(tmp_path)).collect()}
     assert got == {"a.css", "b.HTML", "c.xml", "d.py", "i.md"}
+
+
+def test_front_matter_of_every_shape(spark, tmp_path):
+    for name in ("alpha/nodes", "beta/nodes", "beta/trash"):
+        (tmp_path / name).mkdir(parents=True)
+    (tmp_path / "alpha/nodes/a.md").write_text(
+        "---\nid: p-1\ntitle: |\n  two\n  lines\nacceptance:\n  - one\n  - two\nacceptance_met: [true, false]\n"
+        "external_refs:\n  - provider: tracker\n    id: 7\n    url: https://x.invalid/7\nweight: [1]\n---\nbody"
+    )
+    (tmp_path / "alpha/nodes/bad.md").write_text("---\nid: [p-2\ntitle: x: y: z\n---\n")
+    (tmp_path / "beta/nodes/b.md").write_text("---\nid: q-1\n---\n")
+    (tmp_path / "beta/trash/c.md").write_text("---\nid: q-2\ndeleted_at: 2024-01-02T03:04:05Z\n---\n")
+    rows = {r.id: r for r in notes_md.read_notes(spark, str(tmp_path / "alpha"), str(tmp_path / "beta")).collect()}
+    assert set(rows) == {"p-1", "q-1", "q-2"}
+    one = rows["p-1"]
+    assert one.title == "two\nlines\n" and one.acceptance == ["one", "two"] and one.acceptance_met == [True, False] and one.weight is None
+    assert [tuple(x) for x in one.external_refs] == [("tracker", "7", "https://x.invalid/7")]
+    assert (rows["p-1"].origin_scope, rows["q-1"].origin_scope) == ("alpha", "beta")
+    assert [(r.id, r.deleted_at.year) for r in notes_md.read_trash(spark, str(tmp_path / "beta")).collect()] == [("q-2", 2024)]
+
+
+def test_issues_proposals_and_journal(spark, tmp_path):
+    (tmp_path / "issues.jsonl").write_text('{"id":"i1","title":"A","labels":["UI ","not ok"],"priority":2}\n{"id":"i1","title":"A"}\n{"id":"i2","title":" "}\nbroken\n')
+    got = logs.read_issues(spark, str(tmp_path / "issues.jsonl")).collect()
+    assert [(r.source_issue, r.type) for r in got] == [("i1", "task")]
+    (tmp_path / "p.jsonl").write_text('{"type":"signal","source_notes":["a"],"confidence":0.5}\n[1]\n')
+    assert [r.source_notes for r in logs.read_log(spark, str(tmp_path / "p.jsonl"), logs.LOGS["proposals"]).collect()] == [["a"]]
+    shape = "pattern_id string, description string, strength double, ids array<string>"
+    held = spark.createDataFrame([("x", "old", 1.0, ["a"]), ("y", "y", 1.0, [])], shape)
+    seen = spark.createDataFrame([("x", "new", 0.5, ["b", "a"]), ("z", "z", 2.0, ["c"])], shape)
+    merged = {r.pattern_id: (r.description, r.strength, r.ids) for r in logs.merge_patterns(held, seen).collect()}
+    assert merged == {"x": ("old", 1.5, ["a", "b"]), "y": ("y", 1.0, []), "z": ("z", 2.0, ["c"])}
+    entries = spark.createDataFrame([(i, "x" * 10) for i in range(40)], "pos int, text string")
+    assert sorted(r.pos for r in logs.pruned(entries, 55, 3).collect()) == [35, 36, 37, 38, 39]
+    assert sorted(r.pos for r in logs.pruned(entries, 5, 3).collect()) == [37, 38, 39]
