@@ -154,9 +154,20 @@ def distinctive_terms(index: Index, n: int = 8) -> DataFrame:
 
 
 def similar(index: Index, k: int = 3, min_score: float = 1.0, terms: int = 8) -> DataFrame:
-    """src, id, score, rank: for each text the k others that score best for its distinctive terms."""
-    asked = distinctive_terms(index, terms).select(F.col("id").alias("src"), "term", "idf")
-    hits = asked.join(index.postings, "term").filter("src <> id")
+    """src, id, score, rank: for each text the k others that score best for its distinctive terms.
+
+    A term has an upper bound of what it can add to any score. Of a text's terms the most frequent ones whose bounds together
+    stay below ``min_score`` bring no candidates, as a pair that shares only such terms cannot reach it; so terms on very many
+    texts seldom join. The scores of the candidates are then summed over all terms, joined on text and term.
+    """
+    asked = materialize(distinctive_terms(index, terms).select(F.col("id").alias("src"), "term", "idf"), "distinctive")
+    norm = F.lit(BM25_K1) * (1 - BM25_B + F.lit(BM25_B) * F.col("doc_len") / F.lit(index.avg_len or 1.0))
+    most = index.postings.groupBy("term").agg(F.max(F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + norm)).alias("most"), F.count("*").alias("df"))
+    frequent = Window.partitionBy("src").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bounded = asked.join(most, "term").withColumn("upto", F.sum(F.col("idf") * F.col("most")).over(frequent))
+    keys = bounded.filter(F.col("upto") >= min_score * (1 - 1e-9)).select("src", "term")
+    pairs = keys.join(index.postings.select("id", "term"), "term").filter("src <> id").select("src", "id").distinct()
+    hits = pairs.join(asked, "src").join(index.postings, ["id", "term"])
     scores = hits.groupBy("src", "id").agg(F.sum(_weight(index)).alias("score")).filter(F.col("score") >= min_score)
     return _best(scores, "src", k)
 

@@ -93,3 +93,49 @@ def test_words_inside_titles(spark):
     t = spark.createDataFrame([(k, v) for k, v in titles.items()], "id int, title string")
     w = spark.createDataFrame([("q", x) for x in words], "query_id string, word string")
     assert {(r.word, r.id) for r in retrieval.contained(w, t).collect()} == {(x, k) for x in words for k, v in titles.items() if v and x in v}
+
+
+@pytest.mark.parametrize("least", [0.05, 0.3, 1.0])
+def test_similar_texts_lose_nothing_to_bounds(spark, least):
+    rng = random.Random(7)
+    names = [f"w{i:02}" for i in range(60)]
+    weights = [200 // (i + 1) + 1 for i in range(60)]
+    docs = spark.createDataFrame([(f"d{k}", " ".join(rng.choices(names, weights, k=rng.randrange(2, 14)))) for k in range(80)], "id string, text string")
+    index = retrieval.build_index(docs)
+    asked = retrieval.distinctive_terms(index, 8).select(F.col("id").alias("src"), "term", "idf")
+    every = asked.join(index.postings, "term").filter("src <> id").groupBy("src", "id").agg(F.round(F.sum(retrieval._weight(index)), 9).alias("score")).filter(F.col("score") >= least)
+    want = {}
+    for r in every.collect():
+        want.setdefault(r.src, []).append((-r.score, r.id))
+    got = {}
+    for r in retrieval.similar(index, 3, least).collect():
+        got.setdefault(r.src, []).append((-round(r.score, 9), r.id))
+    assert {s: sorted(x) for s, x in got.items()} == {s: sorted(x)[:3] for s, x in want.items()}
+
+
+def test_corpora_have_their_own_frequencies(spark):
+    rows = [("a", "a1", "cache cache deploy"), ("a", "a2", "deploy plan"), ("b", "b1", "cache"), ("b", "b2", ""), ("c", "c1", None)]
+    corpora = retrieval.build_corpora(spark.createDataFrame(rows, "corpus string, id string, text string"))
+    assert {r.corpus: (r.n_docs, r.avg_len) for r in corpora.sizes.collect()} == {"a": (2, 2.5), "b": (2, 0.5), "c": (1, 0.0)}
+    topics = spark.createDataFrame([("q", "cache")], "query_id string, text string")
+    found = retrieval.search_corpora(corpora, topics, 5)
+    assert {(r.corpus, r.id) for r in found.collect()} == {("a", "a1"), ("b", "b1")}
+    whole = {c: retrieval.build_index(spark.createDataFrame([x[1:] for x in rows if x[0] == c], "id string, text string")) for c in "ab"}
+    for r in found.collect():
+        assert r.score == pytest.approx(retrieval.search(whole[r.corpus], topics).first().score)
+    assert [r.rank for r in retrieval.merged(found, 1).collect()] == [1]
+
+
+def test_an_index_is_kept_until_its_data_changes(spark, tmp_path):
+    docs = spark.createDataFrame([("x", "one two three")], "id string, text string")
+    first = retrieval.kept_index(docs, "kept", "v1")
+    assert retrieval.kept_index(docs, "kept", "v1") is first and retrieval.kept_index(docs, "kept", "v2") is not first
+    retrieval.save_index(first, str(tmp_path / "index"))
+    again = retrieval.load_index(spark, str(tmp_path / "index"))
+    assert (again.n_docs, again.avg_len, again.postings.count(), again.terms.count()) == (1, 3.0, 3, 3)
+
+
+def test_corpus_names_of_chunks(spark):
+    ids = spark.createDataFrame([("docs-a-1-2",), ("docs-1-2",), ("other-x-1-2",), ("plain",), ("a-b",), (None,)], "id string").filter("id is not null")
+    known = spark.createDataFrame([("docs",), ("docs-a",)], "corpus string")
+    assert {r.id: r.corpus for r in retrieval.corpus_of(ids, known).collect()} == {"docs-a-1-2": "docs-a", "docs-1-2": "docs", "other-x-1-2": "other-x", "plain": "plain", "a-b": "a-b"}
