@@ -22,6 +22,9 @@ def spark():
         .config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # the tables of the tests are small: compiling a plan takes longer than running it interpreted
+        .config("spark.sql.codegen.wholeStage", "false")
+        .config("spark.sql.codegen.factoryMode", "NO_CODEGEN")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
