@@ -280,9 +280,6 @@ union all select id, 'tag' from a where len(tags) = 0 union all select id, 'sign
 select term, n, round(1.0::double / log2(n + 2), 6) as weight, 1.0::double / log2(n + 2) > 0.6::double as distinctive from c""",
     "x29_inferred_tags": f"""with {NOTES}, k as (select distinct unnest(tags) as tag from n), w as (select id, unnest({q.keyword_list('title')}) as word from n)
 select id, least(count(*), 5) as n from w where word in (select tag from k) group by id""",
-    "x29_tag_lists": f"""with {NOTES}, k as (select distinct unnest(tags) as tag from n), s as (select id, regexp_split_to_array(lower(coalesce(title, '')), '[^\\p{{L}}\\p{{Nd}}]+') as w from n),
-o as (select id, word, min(i) as i from (select id, unnest(w) as word, generate_subscripts(w, 1) as i from s) where strlen(word) >= 2 and word not in ({q.words(schema.KEYWORD_STOP_WORDS)}) group by id, word),
-r as (select *, row_number() over (partition by id order by i) as r from o where word in (select tag from k)) select id, list(word order by i) as tags from r where r <= 5 group by id""",
     "x38_references": """with r as (select distinct id, x.provider as provider, x.id as ref, x.url as url from (select id, unnest(external_refs) as x from notes))
 select provider, regexp_extract(coalesce(url, ''), '^https?://[^/]+/([^/]+)/', 1) as project, count(*) as n, count(distinct id) as n_notes from r group by all""",
 }
