@@ -27,8 +27,8 @@ class Index:
     avg_len: float
 
 
-def _counted(tokens: Column) -> Column:
-    """Structs (term, n) of the distinct tokens of an array: runs of equal tokens in the sorted array, so no shuffle counts them."""
+def _counted() -> tuple[Column, Column]:
+    """Where runs of equal tokens start in ``sorted``, and structs (term, n) of the runs by ``starts``: no shuffle counts them."""
     n = F.size("sorted")
     starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("sorted", i) != F.get("sorted", i - 1)))
     ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(n))
@@ -38,7 +38,7 @@ def _counted(tokens: Column) -> Column:
 def _posted(docs: DataFrame, *by: str) -> DataFrame:
     """Postings with the number of times a text has the term; each text is tokenized once and nothing is shuffled."""
     lists = spread(docs).select(*by, "id", F.sort_array(tx.search_tokens(F.col("text"))).alias("sorted")).withColumn("doc_len", F.size("sorted"))
-    starts, counts = _counted(F.col("sorted"))
+    starts, counts = _counted()
     rows = lists.filter("doc_len > 0").withColumn("starts", starts).select(*by, "id", "doc_len", F.inline(counts))
     return rows.select(*by, "id", "term", (F.col("n").cast("double") / F.col("doc_len")).alias("tf"), "doc_len", "n")
 

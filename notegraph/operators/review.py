@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notegraph import schema
-from notegraph.functions.text import body_of, title_of
+from notegraph.functions.text import title_of
 from notegraph.operators import graph
 from notegraph.operators.order import numbered
 

@@ -18,7 +18,6 @@ from notegraph.sources.tables import table
 
 COLUMNS = ("kind", "action", "sources", "targets", "link_type", "rationale", "severity", "tags")
 #: Kind: (which notes make such a proposal, its columns in the order of COLUMNS after the kind).
-_NONE = ("array()", "array()", "''")
 KINDS = {
     "staleness": ("status = 'active' and access_count < 2", "if(weight < 0.6, 'deprecate', 'flag')", "array(id)", "array()", "''", "title", "'low'", "array()"),
     "tag_refinement": ("size(tags) >= 2", "'retag'", "array(id)", "array()", "''", "title", "''", "array_sort(array_distinct(tags))"),
