@@ -234,14 +234,17 @@ def summary_clusters(notes: DataFrame, least: int) -> DataFrame:
 
 
 def successors(notes: DataFrame, most: int = 3) -> DataFrame:
-    """id, successor, shared, rank, next_id: for each deprecated note the live notes that could stand in for it.
+    """id, successor, n_shared, rank, next_id: for each deprecated note the heaviest live notes that share a tag with it.
 
-    Of each tag the four heaviest live notes are candidates; those that share more tags come first, then the heavier.
+    The ``most`` + 1 heaviest of all that share a tag are among the ``most`` + 1 heaviest of one of the tags, so a tag on very
+    many notes brings no more rows, and none is lost. Notes of equal weight are in order of their ids.
     """
-    tags = notes.select("id", "status", "weight", F.explode(F.array_distinct("tags")).alias("tag"))
+    tagged = notes.select("id", "status", "weight", F.array_distinct("tags").alias("tags"))
+    rows = tagged.select("id", "status", "weight", F.explode("tags").alias("tag"))
     heavy = F.row_number().over(Window.partitionBy("tag").orderBy(F.desc_nulls_last("weight"), "id"))
-    best = tags.filter(F.col("status").isin(*schema.LIVE)).withColumn("_r", heavy).filter(F.col("_r") <= 4).select("tag", F.col("id").alias("successor"), "weight")
-    met = tags.filter("status = 'deprecated'").select("id", "tag").join(best, "tag").groupBy("id", "successor").agg(F.count("*").alias("shared"), F.max("weight").alias("weight"))
-    line = Window.partitionBy("id").orderBy(F.desc("shared"), F.desc_nulls_last("weight"), "successor")
-    placed = met.withColumn("rank", F.row_number().over(line)).withColumn("next_id", F.lead("successor").over(line))
-    return placed.filter(F.col("rank") <= most).select("id", "successor", "shared", "rank", "next_id")
+    best = rows.filter(F.col("status").isin(*schema.LIVE)).withColumn("_r", heavy).filter(F.col("_r") <= most + 1).select("tag", F.col("id").alias("successor"), "weight")
+    met = rows.filter("status = 'deprecated'").select("id", "tag").join(best, "tag").select("id", "successor", "weight").distinct()
+    line = Window.partitionBy("id").orderBy(F.desc_nulls_last("weight"), "successor")
+    placed = met.withColumn("rank", F.row_number().over(line)).withColumn("next_id", F.lead("successor").over(line)).filter(F.col("rank") <= most)
+    full = placed.join(tagged.select("id", "tags"), "id").join(tagged.select(F.col("id").alias("successor"), F.col("tags").alias("_tags")), "successor")
+    return full.select("id", "successor", F.size(F.array_intersect("tags", "_tags")).cast("bigint").alias("n_shared"), "rank", "next_id")

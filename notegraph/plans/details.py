@@ -146,7 +146,7 @@ def u05_lens_union(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def w05_by_similarity(spark: SparkSession, folder: str) -> DataFrame:
-    """For each deprecated note the live notes of its tags by weight, and who comes next."""
+    """For each deprecated note the three heaviest live notes that share a tag, and who comes next."""
     return ops.successors(view(spark, folder, "status", "tags", "weight"))
 
 
@@ -207,7 +207,8 @@ select * from ({base.SQL['c02_heading_chunks']}) where id not in (select id from
 e as (select link_type as edge_type from links union all select 'built_by_ref' from links where link_type = 'builds_on' union all select unnest(['child_of', 'parent_of']) from n where parent is not null
   union all select case when target in (select id from n) then 'body_ref' else 'concept_ref' end from f)
 select 'notes' as lens, edge_type, count(*) as n from e group by edge_type union all select 'log', edge_type, count(*) from edges group by edge_type""",
-    "w05_by_similarity": f"""with {NOTES}, g as (select distinct id, status, weight, tag from (select id, status, weight, unnest(tags) as tag from n)), b as (select * from g where status in ('active', 'in_progress') qualify row_number() over (partition by tag order by weight desc nulls last, id) <= 4),
-m as (select g.id as gone, b.id, any_value(b.weight) as weight, count(*) as shared from g join b using (tag) where g.status = 'deprecated' group by all), r as (select *, row_number() over w as rank, lead(id) over w as next_id from m window w as (partition by gone order by shared desc, weight desc nulls last, id))
-select gone as id, id as successor, shared, rank::int as rank, next_id from r where rank <= 3""",
+    "w05_by_similarity": f"""with {NOTES}, g as (select distinct id, status, weight, tag from (select id, status, weight, unnest(tags) as tag from n)),
+m as (select x.id as gone, y.id, y.weight, count(*) as n_shared from g x join g y using (tag) where x.status = 'deprecated' and y.status in ('active', 'in_progress') group by all),
+r as (select *, row_number() over w as rank, lead(id) over w as next_id from m window w as (partition by gone order by weight desc nulls last, id))
+select gone as id, id as successor, n_shared, rank::int as rank, next_id from r where rank <= 3""",
 }
