@@ -156,7 +156,7 @@ def u06_tasks(spark: SparkSession, folder: str) -> DataFrame:
     done = notes.filter("status in ('completed', 'archived')").join(notes.select(F.col("source_issue").alias("id")).filter("id is not null"), "id", "left_anti")
     rate = F.col("access_count") / F.greatest(sc.age_days(F.col("created_at"), AS_OF), F.lit(1)).cast("double")
     merged = notes.select("id", F.explode("supersedes").alias("other")).join(notes.select(F.col("id").alias("other")), "other", "left_semi")
-    out = named(ends(ops.link_candidates(notes, edges)), "link_inference")
+    out = named(ops.in_link_candidates(notes, edges), "link_inference")
     for rows, task in (
         (ends(edges.filter("edge_type = 'relates_to'").select(F.col("source").alias("a"), F.col("target").alias("b"))), "content_link_review"),
         (ends(graph.contradictions(notes)), "contradiction_detection"), (active.filter(ops.not_seen_for(45, AS_OF)), "staleness_evaluation"),
