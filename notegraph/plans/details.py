@@ -92,8 +92,8 @@ def g11_cluster_scores(spark: SparkSession, folder: str) -> DataFrame:
 def r10_new_links(spark: SparkSession, folder: str) -> DataFrame:
     """Similar notes without a link and without three terms in common, which another list has."""
     edges = graph.live_edges(table(spark, folder, "edges"))
-    by_terms = ops.link_candidates(view(spark, folder, "status", "tags"), edges).select("a", "b")
-    return base.r10_content_links(spark, folder).join(by_terms, ["a", "b"], "left_anti")
+    # no edge links these pairs, so those of the other list are the ones with enough terms in common
+    return ops.without_shared_terms(base.r10_content_links(spark, folder), view(spark, folder, "status", "tags"), edges)
 
 
 def j13_annotated(spark: SparkSession, folder: str) -> DataFrame:
