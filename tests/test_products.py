@@ -54,6 +54,53 @@ def test_matches_plain_sums(tmp_path, monkeypatch, seed, held, cells, dense, k,
     assert sum(map(len, got.values())) <= (k or 10**9) * max(1, len(want)) * 60
 
 
+def matched(tmp_path, rows, asked, k, least, others):
+    """The best of each query and part, and how many cells of the matrix were filled."""
+    pq.write_table(pa.table({"query_id": [x[0] for x in asked], "terms": [x[1] for x in asked], "weights": [x[2] for x in asked]}), tmp_path / "part.parquet")
+    table = pa.table({"id": [x[0] for x in rows], "terms": pa.array([x[1] for x in rows], pa.list_(pa.string())), "weights": pa.array([x[2] for x in rows], pa.list_(pa.float64())), "part": [x[3] for x in rows]})
+    got, cells = defaultdict(list), 0
+    products_ = products._Share.products
+
+    def counted(self, *args):
+        nonlocal cells
+        for found in products_(self, *args):
+            cells += found[1].size
+            yield found
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(products._Share, "products", counted)
+        for batch in products._matched(str(tmp_path), k, least, others, False, ["query_id", "part", "id", "score"])(iter(table.to_batches())):
+            for r in batch.to_pylist():
+                got[r["query_id"], r["part"]].append((-round(r["score"], 9), r["id"]))
+    return {q: sorted(x)[:k] for q, x in got.items()}, cells
+
+
+def zipfian(rng, n, size):
+    """Terms of which a few are in most rows and most in a few, with weights that repeat or not."""
+    terms = [f"t{int(rng.paretovariate(0.6)) % 5000}" for _ in range(rng.randrange(1, size))]
+    return terms, [rng.choice([0.5, 1.0, rng.random() + 1e-6]) for _ in terms]
+
+
+@pytest.mark.parametrize("seed, short, many, listed, bounded", [(1, 32, 0.2, 1 << 19, 1 << 16), (2, 0, 10, 1 << 19, 1 << 16), (3, 0, 10, 8, 16), (4, 3, 0.5, 64, 40)])
+@pytest.mark.parametrize("k, least, others, parts", [(3, None, True, [None]), (1, 1.0, False, ["x", "y", None]), (20, None, False, ["x", "y"]), (5, 2.5, True, [None])])
+def test_best_without_all_products(tmp_path, monkeypatch, seed, short, many, listed, bounded, k, least, others, parts):
+    for name, value in (("_SHORT", short), ("_MANY", many), ("_LISTED", listed), ("_BOUNDED", bounded)):
+        monkeypatch.setattr(products, name, value)
+    rng = random.Random(seed)
+    rows = [(f"n{i:03}", *zipfian(rng, i, 30), rng.choice(parts)) for i in range(300)]
+    asked = [(f"n{i:03}", *(list(x) for x in zip(*{t: (t, w) for t, w in zip(*zipfian(rng, i, 9))}.values()))) for i in range(0, 300, 4)]
+    got, cells = matched(tmp_path, rows, asked, k, least, others)
+    assert got == brute(rows, asked, least, k, others)
+    assert many < 1 or cells == 0
+
+
+def test_rare_terms_fill_no_matrix(tmp_path):
+    rows = [(f"n{i:04}", ["all", f"a{i // 3}", f"b{i // 5}"], [0.1, 1.0 + i % 2, 1.0], None) for i in range(3000)]
+    got, cells = matched(tmp_path, rows, [(r[0], r[1], [0.01, 2.0, 2.0]) for r in rows], 3, 1.0, True)
+    assert len(got) == 3000 and got["n0000", None] == [(-6.001, "n0001"), (-4.001, "n0002"), (-2.001, "n0003")]
+    assert cells < 3000 * 3000 / 100
+
+
 def moved(spark, df):
     """Rows that all stages of the job wrote for shuffles."""
     jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
