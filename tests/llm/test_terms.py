@@ -5,7 +5,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from notegraph.llm import terms
+from notegraph.llm import queries, terms
+from tests.conftest import DATA
 
 SCHEMA = "field string, record string, pos int, token string, n int, c string"
 
@@ -82,3 +83,17 @@ def test_the_longest_gram_is_the_record(spark):
 def test_several_tokens_at_one_position(spark):
     got = counted(spark, [("f", "r", 0, "a"), ("f", "r", 1, "c"), ("f", "r", 1, "b"), ("f", "r", 2, "d")])
     assert {k[2] for k in got} == {("a",), ("b",), ("c",), ("d",), ("a", "b"), ("b", "d"), ("a", "b", "d")}
+
+
+def test_term_marks_come_from_whole_suffixes(spark, monkeypatch):
+    longest, suffixes = [], terms.suffixes
+
+    def seen(*args):
+        found = suffixes(*args)
+        longest.append(found.selectExpr("max(size(suffix))").first()[0])
+        return found
+
+    monkeypatch.setattr(terms, "suffixes", seen)
+    assert queries.p2_terms(spark, DATA).count() > 0
+    tokens = queries.term_tokens(spark, DATA).groupBy("field", "record").count()
+    assert longest == [tokens.selectExpr("max(count)").first()[0]]
