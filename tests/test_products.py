@@ -136,6 +136,16 @@ def test_seeds_shuffle_no_pairs(spark):
     assert n < 20_000  # a row for each pair were 90,000 for tags and as many for words
 
 
+def test_words_in_titles_shuffle_no_letters(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "_WORDS", 2)
+    titles = spark.range(500).select("id", F.concat(F.lit("the quiet harbour of lantern "), F.col("id").cast("string")).alias("title"))
+    words = spark.createDataFrame([("tern 49",), ("harbour",), ("no",)], "word string")
+    rows, n = moved(spark, lambda: retrieval.titles_with(words, titles))
+    held = {(r.id, w) for r in rows for w in r.words}
+    assert held == {(i, "harbour") for i in range(500)} | {(i, "tern 49") for i in (49, *range(490, 500))}
+    assert n < 2_000  # a row for each run of letters were 40,000
+
+
 def test_link_candidates_shuffle_no_pairs(spark):
     found = spark.range(400).select(F.format_string("n%04d", "id").alias("id"), F.lit("active").alias("status"), F.array(*map(F.lit, "abc")).alias("tags"))
     edges = spark.createDataFrame([("n0000", "n0001", "relates_to"), ("n0003", "n0002", "relates_to")], "source string, target string, edge_type string")
