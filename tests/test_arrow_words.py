@@ -40,3 +40,19 @@ def test_spread_does_not_run_a_shuffle(spark):
     some = spread(rows)
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("spread")) == 0
     assert some.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_seeds_cut_a_body_once_and_keep_what_is_no_note(spark, monkeypatch):
+    notes = spark.createDataFrame([("n1", ["Ops"], "t", "alpha beta"), ("n2", None, None, "beta"), ("n3", [], "gamma", "")], "id string, tags array<string>, title string, body string")
+    refs = spark.createDataFrame([("n2", "alpha"), ("gone", "alpha")], "source string, target string")
+    topics = spark.createDataFrame([("q", "alpha ops"), ("r", "gamma")], "query_id string, text string")
+    plans, whole = {}, retrieval.materialize
+
+    def seen(df, label):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return whole(df, label)
+
+    monkeypatch.setattr(retrieval, "materialize", seen)
+    got = {(r.query_id, r.id, round(r.strength, 6)) for r in retrieval.seeds(topics, notes, refs).collect()}
+    assert got == {("q", "n1", 1.3), ("q", "n2", 1.0), ("q", "gone", 1.0), ("r", "n3", 0.5)}
+    assert plans["signals"].count("split(") == 1
