@@ -1,13 +1,16 @@
 """Products of sparse rows against plain sums, and what the searches shuffle."""
 
 import random
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from notegraph import scratch
 from notegraph.operators import notes, products, retrieval
 
 
@@ -163,3 +166,43 @@ def test_pairs_with_and_without_shared_terms(spark):
     pairs = spark.createDataFrame([("a", "b", 1), ("a", "c", 2), ("a", "d", 3)], "a string, b string, n int")
     assert {tuple(r) for r in notes.without_shared_terms(pairs, found, edges).collect()} == {("a", "d", 3)}
     assert {tuple(r) for r in notes.without_shared_terms(pairs, found, edges.limit(0)).collect()} == {("a", "c", 2), ("a", "d", 3)}
+
+
+@pytest.mark.parametrize("k, least, others", [(3, None, False), (2, 1.0, True)])
+def test_only_the_best_leave_a_task(tmp_path, monkeypatch, k, least, others):
+    monkeypatch.setattr(products, "_HELD", 12)
+    monkeypatch.setattr(products, "_ASKED", 7)
+    rng = random.Random(k)
+    rows = [(f"n{i:03}", *zipfian(rng, i, 12), rng.choice(["x", None])) for i in range(120)]
+    asked = [(f"n{i:03}", *(list(x) for x in zip(*{t: (t, w) for t, w in zip(*zipfian(rng, i, 6))}.values()))) for i in range(0, 120, 3)]
+    pq.write_table(pa.table({"query_id": [x[0] for x in asked], "terms": [x[1] for x in asked], "weights": [x[2] for x in asked]}), tmp_path / "part.parquet")
+    table = pa.table({"id": [x[0] for x in rows], "terms": [x[1] for x in rows], "weights": [x[2] for x in rows], "part": pa.array([x[3] for x in rows], pa.string())})
+    got = defaultdict(list)
+    for at in range(3):  # of a third of the asked rows each
+        run = products._matched(str(tmp_path), k, least, others, False, ["query_id", "part", "id", "score"], None, (at, 3))
+        for batch in run(iter(table.to_batches(max_chunksize=5))):
+            for r in batch.to_pylist():
+                got[r["query_id"], r["part"]].append((-round(r["score"], 9), r["id"]))
+    assert got == brute(rows, asked, least, k, others)
+
+
+@pytest.mark.parametrize("leaving, stored", [(1, 0), (300_000, 10**7), (10**7, 10**8), (10**8, 10**9)])
+def test_what_leaves_all_tasks_is_bounded(leaving, stored):
+    groups, asked = products._grid(6, 100, leaving, stored)
+    assert groups == 1 or groups * leaving <= products._LEFT + stored / products._LEFT_BYTES
+    assert groups * asked >= 6 and 2 * leaving / asked <= products._HELD
+
+
+def test_shuffles_of_scratch_tables_go_at_once(spark):
+    def files():
+        root = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
+        return {p for p in root.rglob("shuffle_*.data")}
+
+    before = files()
+    held = scratch.materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and held.count() == 7
+    assert spark.conf.get(scratch._CLEANUP) == "false"
