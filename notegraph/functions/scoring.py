@@ -39,16 +39,24 @@ def relevance(edge_type: Column, matched: Column, contradictions: Column, as_of:
 
     ``matched`` is the mean of 1 / log2(n + 2) over the matched tags, 0 without any.
     """
-    raw = (
+    return disputed(standing(edge_type, matched, cfg), contradictions, recency(age_days(F.col("last_accessed"), as_of)), cfg)
+
+
+def disputed(value: Column, contradictions: Column, factor: Column, cfg: Scoring = SCORING) -> Column:
+    """The score of a standing with contradictions against it, and a factor of recency."""
+    return (value + contradictions * cfg.contradiction_penalty) * factor
+
+
+def standing(edge_type: Column, matched: Column, cfg: Scoring = SCORING) -> Column:
+    """What a note row has before contradictions and recency."""
+    return (
         F.coalesce(F.col("weight"), F.lit(0.0))
         + _lookup(F.coalesce(edge_type, F.lit("")), cfg.edge_bonuses)
         + _lookup(F.coalesce(F.col("status"), F.lit("")), cfg.status_penalties)
         + access_bonus(F.col("access_count"), cfg)
         + salience(F.col("origin"), F.col("type"), cfg)
         + matched * cfg.tag_weight
-        + contradictions * cfg.contradiction_penalty
     )
-    return raw * recency(age_days(F.col("last_accessed"), as_of))
 
 
 def specificity(n: Column) -> Column:

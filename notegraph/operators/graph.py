@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from notegraph import schema
 from notegraph.functions import text as tx
-from notegraph.functions.scoring import relevance, specificity
+from notegraph.functions.scoring import age_days, disputed, recency, relevance, specificity, standing
 from notegraph.operators.hierarchy import cycle_members
 from notegraph.scratch import materialize, read, write
 
@@ -149,24 +149,25 @@ def traverse(seeds: DataFrame, notes: DataFrame, edges: DataFrame, as_of: str, c
     """
     columns = ("weight", "status", "origin", "type", "access_count", "last_accessed")
     known = materialize(notes.select("id", *columns), "known")
-    # the notes join the edges once, so each hop only follows edges that bring what the score needs
-    links = edges.filter("edge_type <> 'concept_ref'").select("source", F.col("target").alias("id"), "edge_type").distinct()
-    links = materialize(links.join(known, "id"), "links")
     in_force = known.filter("status <> 'deprecated'").select(F.col("id").alias("other"))
     disputes = edges.filter("edge_type = 'contradicts'").select(F.col("source").alias("id"), F.col("target").alias("other")).distinct()
     disputes = materialize(disputes.join(in_force, "other").select("id", "other"), "disputes")
-
-    def scored(rows: DataFrame, before: DataFrame | None) -> DataFrame:
-        if before is None:
-            full = rows.withColumn("disputed", F.lit(0))
-        else:
-            against = rows.select("query_id", "id").distinct().join(disputes, "id")
-            hits = against.join(before.select("query_id", F.col("id").alias("other")), ["query_id", "other"]).groupBy("query_id", "id").agg(F.count("*").alias("disputed"))
-            full = rows.join(hits, ["query_id", "id"], "left").fillna(0, ["disputed"])
-        return full.withColumn("score", relevance(F.col("edge_type"), F.lit(0.0), F.col("disputed"), as_of, cfg)).drop(*columns, "disputed")
+    # the notes join the edges once, so each hop carries what the score needs of them: what it is without contradictions
+    links = edges.filter("edge_type <> 'concept_ref'").select("source", F.col("target").alias("id"), "edge_type").distinct().join(known, "id")
+    links = links.select("source", "id", "edge_type", standing(F.col("edge_type"), F.lit(0.0), cfg).alias("value"), recency(age_days(F.col("last_accessed"), as_of)).alias("factor"))
+    if cfg.contradiction_penalty <= 0:  # contradictions don't raise a score, so what is under the threshold without them stays there
+        links = links.filter(disputed(F.col("value"), F.lit(0), F.col("factor"), cfg) >= cfg.min_threshold)
+    links = materialize(links.join(disputes.select("id", F.lit(True).alias("contested")).distinct(), "id", "left"), "links")
+
+    def scored(rows: DataFrame, before: DataFrame) -> DataFrame:
+        against = rows.filter("contested").select("query_id", "id").distinct().join(disputes, "id")
+        hits = against.join(before.select("query_id", F.col("id").alias("other")), ["query_id", "other"]).groupBy("query_id", "id").agg(F.count("*").alias("hits"))
+        full = rows.drop("contested").join(hits, ["query_id", "id"], "left").fillna(0, ["hits"])
+        return full.withColumn("score", disputed(F.col("value"), F.col("hits"), F.col("factor"), cfg)).drop("value", "factor", "hits")
 
     start = seeds.select("query_id", "id", F.col("seed_pos").cast("bigint").alias("place"), F.lit("seed").alias("edge_type")).join(known, "id")
-    visited = materialize(scored(start, None).select("query_id", "id", F.lit(0).alias("hop"), "place", "score"), "visited")
+    start = start.withColumn("score", relevance(F.col("edge_type"), F.lit(0.0), F.lit(0), as_of, cfg))
+    visited = materialize(start.select("query_id", "id", F.lit(0).alias("hop"), "place", "score"), "visited")
     frontier = visited
     for hop in range(1, cfg.max_hops + 1):
         near = frontier.select("query_id", F.col("id").alias("source"), F.col("place").alias("from_place")).join(links, "source").drop("source")
