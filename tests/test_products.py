@@ -190,7 +190,7 @@ def test_only_the_best_leave_a_task(tmp_path, monkeypatch, k, least, others):
 def test_what_leaves_all_tasks_is_bounded(leaving, stored):
     groups, asked = products._grid(6, 100, leaving, stored)
     assert groups == 1 or groups * leaving <= products._LEFT + stored / products._LEFT_BYTES
-    assert groups * asked >= 6 and 2 * leaving / asked <= products._HELD
+    assert groups * asked >= 6 and leaving / asked <= products._KEPT
 
 
 def test_shuffles_of_scratch_tables_go_at_once(spark):
